@@ -30,6 +30,11 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(col, F.lit(NON_SPACE), F.lit(0))), F.lit(0))
 
 
+def more_words_than(col: Column, n: int) -> Column:
+    """Whether a text has more than ``n`` words; reading stops at the first one too many."""
+    return col.rlike(rf"(?U)^\s*(?:\S+\s+){{{n}}}\S")
+
+
 def terms(col: Column) -> Column:
     """Lower-cased words of two or more characters."""
     return F.regexp_extract_all(F.lower(col), F.lit(TERM), F.lit(0))
@@ -46,10 +51,9 @@ def remove_stopwords(tokens: Column, stopwords: list[str] | None = None) -> Colu
 
 def ngrams(tokens: Column, n: int = 2) -> Column:
     """Runs of ``n`` neighbouring tokens joined by a space."""
-    if n == 1:
-        return tokens
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "),
-    )
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    runs = tokens
+    for shift in range(1, n):
+        # The longer side ends in nulls, which concat turns into a null run.
+        later = F.slice(tokens, F.lit(shift + 1), F.greatest(F.size(tokens) - F.lit(shift), F.lit(0)))
+        runs = F.zip_with(runs, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(runs, lambda r: r.isNotNull())

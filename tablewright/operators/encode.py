@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import dates
 from tablewright.operators.ranking import dense_codes
+from tablewright.session import small_table
 
 logger = logging.getLogger(__name__)
 
@@ -101,17 +102,14 @@ class CategoricalModel(Model):
                     new[c + self.label_suffix] = code_column(c, values)
                 else:
                     # A map is searched by hash, an array from its start.
-                    df = self._join_codes(df, c, self._small_table(df, c, values), small=True)
+                    kind = df.schema[c].dataType.simpleString()
+                    table = small_table(df.sparkSession, [(v, i) for i, v in enumerate(values)], f"value {kind}, code bigint")
+                    df = self._join_codes(df, c, table, small=True)
         out = df.withColumns(new) if new else df
         for c, table in self.tables.items():
             out = self._join_codes(out, c, table, small=False)
         return out
 
-    @staticmethod
-    def _small_table(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-        kind = df.schema[column].dataType.simpleString()
-        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"value {kind}, code bigint")
-
     def _join_codes(self, df: DataFrame, column: str, table: DataFrame, small: bool) -> DataFrame:
         codes = table.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
         joined = df.join(F.broadcast(codes) if small else codes, F.col(column) == F.col("__value"), "left")

@@ -78,6 +78,12 @@ def rf_classifier(trees: int = FOREST_TREES, depth: int = DEEPEST, seed: int = S
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores is dealt out; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class SearchResult:
     model: Model
@@ -102,7 +108,7 @@ def grid_search_cv(
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
     )
     # Every fold reads the features again.
-    table = stratified_fold(df, key, "label", folds, seed).persist()
+    table = spread(stratified_fold(df, key, "label", folds, seed)).persist()
     try:
         fitted = search.fit(table)
     finally:

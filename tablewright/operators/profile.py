@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.quantiles import exact_quantiles, grouped_quantiles
+from tablewright.session import small_table
 
 DOMAIN_LIMIT = 100
 IQR_FACTOR = 1.5
@@ -26,7 +27,7 @@ def numeric_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
 def column_types(df: DataFrame) -> DataFrame:
     rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    return small_table(df.sparkSession, rows, "position int, column string, type string")
 
 
 def head_tail(df: DataFrame, ordinal: str, n: int = 5) -> DataFrame:
@@ -98,7 +99,7 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probabilities: Sequenc
         for name, values in exact_quantiles(df, list(columns), probabilities).items()
         for p, value in zip(probabilities, values)
     ]
-    return df.sparkSession.createDataFrame(rows, "column string, p double, value double")
+    return small_table(df.sparkSession, rows, "column string, p double, value double")
 
 
 def outlier_count(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR) -> DataFrame:
@@ -130,7 +131,7 @@ def five_number_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     kind = df.schema[group].dataType
     found = grouped_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0])
     schema = T.StructType([T.StructField(group, kind)] + [T.StructField(c, T.DoubleType()) for c in ("min", "q1", "median", "q3", "max")])
-    return df.sparkSession.createDataFrame([(g, *values) for g, values in found.items()], schema)
+    return small_table(df.sparkSession, [(g, *values) for g, values in found.items()], schema)
 
 
 def results_pivot(df: DataFrame, run: str, variant: str, value: Column, variants: Sequence[str]) -> DataFrame:
@@ -228,7 +229,7 @@ def validate_schema(df: DataFrame, schema: DataFrame) -> DataFrame:
             value = F.col(name).cast("double")
             checks.append((name, "outside range", (value < F.lit(want["min"])) | (value > F.lit(want["max"]))))
     spark = df.sparkSession
-    out = spark.createDataFrame(found, "column string, anomaly string, cells bigint")
+    out = small_table(spark, found, "column string, anomaly string, cells bigint")
     if checks:
         counts = df.agg(*[F.count_if(test).alias(f"x{i}") for i, (_, _, test) in enumerate(checks)])
         rows = [

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.dates import STRICT_LAYOUT, UNIX_RANGE, parse_text
-from tablewright.functions.words import word_count
+from tablewright.functions.words import more_words_than
 from tablewright.operators.profile import is_numeric
+from tablewright.session import small_table
 
 # Fixed values of the two rule sets.
 UNIQUE_SHARE = 0.2
@@ -93,13 +94,13 @@ def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str]
             fixed[name] = "categorical"
         else:
             judged.append(name)
-            aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c, 0.02).alias(f"u{i}")]
+            aggs += [F.count(c).alias(f"n{i}"), F.approx_count_distinct(c).alias(f"u{i}")]
             if is_numeric(kind):
                 aggs.append(any_in_range(c).alias(f"x{i}"))
             else:
                 layouts = [STRICT_LAYOUT] if strict else None
                 parsed = F.bool_and(F.when(c.isNotNull(), parse_text(c, layouts).isNotNull()))
-                aggs += [F.coalesce(parsed, F.lit(False)).alias(f"d{i}"), F.max(word_count(c)).alias(f"w{i}")]
+                aggs += [F.coalesce(parsed, F.lit(False)).alias(f"d{i}"), F.bool_or(more_words_than(c, SHORT_TEXT_WORDS)).alias(f"w{i}")]
     facts = table.agg(*aggs).first().asDict() if aggs else {}
     place = {name: i for i, name in enumerate(kinds)}
     close = [c for c in judged if facts[f"u{place[c]}"] <= 2 * CATEGORY_LIMIT]
@@ -120,7 +121,7 @@ def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str]
             return "categorical"
         if numeric:
             return "numerical"
-        return "short_text" if strict or (facts[f"w{i}"] or 0) <= SHORT_TEXT_WORDS else "long_text"
+        return "long_text" if facts[f"w{i}"] and not strict else "short_text"
 
     roles = {name: fixed.get(name) or role(name) for name in kinds}
     by_role = {r: tuple(c for c, x in roles.items() if x == r) for r in ("numerical", "categorical", "datetime", "short_text", "long_text")}
@@ -129,7 +130,7 @@ def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str]
 
 def roles_table(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     rows = [(c, roles.of(c)) for c in df.columns if roles.of(c)]
-    return df.sparkSession.createDataFrame(rows, "column string, role string")
+    return small_table(df.sparkSession, rows, "column string, role string")
 
 
 def cast_by_role(df: DataFrame, roles: ColumnRoles) -> DataFrame:

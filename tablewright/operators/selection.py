@@ -18,7 +18,7 @@ from tablewright.functions.hashing import HASH_BITS, as_keys, draw, hash52
 
 DIGIT_BITS = 12  # 4096 counters per draw and pass
 SMALL = 10_000  # rows that may be ordered in one place
-SPLITTERS = 63
+SPLITTERS = 24
 
 
 @dataclass(frozen=True)

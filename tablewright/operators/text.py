@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import logging
-import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
     PCA,
+    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
@@ -73,24 +73,40 @@ def tfidf_terms(df: DataFrame, key: str, column: str, size: int | None = None) -
 
 
 class TfidfVectorizer(Estimator):
-    """The same weights as sparse vectors ``{column}_tfidf`` for use in a model."""
+    """The same weights as sparse vectors ``{column}_tfidf`` for use in a model.
+
+    A limited vocabulary is chosen by frequency with alphabetical ties, so it does not
+    depend on partitioning. Without a limit all terms are taken (at most 2^18, the
+    longest vector made).
+    """
 
     def __init__(self, column: str, size: int | None = None):
         super().__init__()
         self.column, self.size = column, size
 
     def _fit(self, df: DataFrame) -> TfidfModel:
-        numbered = df.select(F.monotonically_increasing_id().alias("__row"), self.column)
-        counts = term_counts(numbered, "__row", self.column)
-        size = min(self.size or VOCABULARY_LIMIT, VOCABULARY_LIMIT)
-        rows = vocabulary(counts, df.count(), size).orderBy("term").collect()
-        return TfidfModel(self.column, [r["term"] for r in rows], [r["idf"] for r in rows])
+        source, count = f"__{self.column}_terms", f"__{self.column}_tf"
+        if self.size is None:
+            tokens = df.select(_term_column(self.column).alias(source))
+            counter = CountVectorizer(inputCol=source, outputCol=count, vocabSize=VOCABULARY_LIMIT).fit(tokens)
+            idf = IDF(inputCol=count).fit(counter.transform(tokens)).idf.toArray() + 1.0
+        else:
+            numbered = df.select(F.monotonically_increasing_id().alias("__row"), self.column)
+            counts = term_counts(numbered, "__row", self.column)
+            rows = vocabulary(counts, df.count(), min(self.size, VOCABULARY_LIMIT)).orderBy("term").collect()
+            if not rows:
+                raise ValueError(f"column {self.column!r} holds no term")
+            counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=source, outputCol=count)
+            idf = np.array([r["idf"] for r in rows])
+        weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=count, outputCol=f"__{self.column}_w")
+        unit = Normalizer(p=2.0, inputCol=f"__{self.column}_w", outputCol=f"{self.column}_tfidf")
+        return TfidfModel(self.column, PipelineModel([counter, weigh, unit]))
 
 
 class TfidfModel(Model):
-    def __init__(self, column: str, terms: list[str], idf: list[float]):
+    def __init__(self, column: str, stages: PipelineModel):
         super().__init__()
-        self.column, self.terms, self.idf = column, terms, idf
+        self.column, self.stages = column, stages
 
     @property
     def output(self) -> str:
@@ -98,15 +114,14 @@ class TfidfModel(Model):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         c = self.column
-        if not self.terms:
-            return df.withColumn(self.output, array_to_vector(F.array(F.lit(0.0))))
-        text = df.withColumn(f"__{c}_terms", F.coalesce(words.terms(F.col(c)), F.array().cast("array<string>")))
-        counted = CountVectorizerModel.from_vocabulary(self.terms, inputCol=f"__{c}_terms", outputCol=f"__{c}_tf").transform(text)
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=f"__{c}_tf", outputCol=f"__{c}_w").transform(counted)
-        out = Normalizer(p=2.0, inputCol=f"__{c}_w", outputCol=self.output).transform(scaled)
+        out = self.stages.transform(df.withColumn(f"__{c}_terms", _term_column(c)))
         return out.drop(f"__{c}_terms", f"__{c}_tf", f"__{c}_w")
 
 
+def _term_column(column: str) -> Column:
+    return F.coalesce(words.terms(F.col(column)), F.array().cast("array<string>"))
+
+
 # --- hashed n-grams ------------------------------------------------------------------
 
 
@@ -284,8 +299,3 @@ class TextFeaturesModel(Model):
 
 def extract_text_features(df: DataFrame, columns: Sequence[str], embedder=None, k: int = COMPONENTS, size: int = EMBEDDING_SIZE, on_error: str = "raise") -> DataFrame:
     return TextFeatures(columns, embedder, k, size, on_error).fit(df).transform(df)
-
-
-def idf_value(rows: int, df: int) -> float:
-    """Smoothed inverse document frequency of a term."""
-    return math.log((1 + rows) / (1 + df)) + 1

@@ -18,7 +18,7 @@ from tablewright.operators.impute import impute_missing
 from tablewright.operators.model import SPLIT_SEED, fit_and_score, rf_classifier, train_test_split
 from tablewright.operators.roles import ColumnRoles, classify_columns
 from tablewright.operators.selection import sample_n
-from tablewright.session import checkpoint
+from tablewright.session import checkpoint, small_table
 
 COPY = "__copy"
 SAMPLE_SIZE, REPEATS, TEST_SHARE = 4000, 20, 0.1  # fixed values of the experiment
@@ -66,9 +66,13 @@ def _apply(df: DataFrame, key: list[str], steps: Sequence[Step], seed: int) -> D
 
 
 def variant_matrix(roles: ColumnRoles, ratio: float = corrupt.NULL_RATIO, **options) -> list[Variant]:
-    """Original, all damage, damage repaired, each damage alone and repaired, repair alone."""
+    """Original, all damage, damage repaired, each damage alone and repaired, repair alone.
+
+    Dates are damaged but not imputed here: rows that still lack one cannot be used to fit.
+    """
     damage = {"duplicates": duplicates(), "nulls": nulls(roles, ratio), "outliers": outliers(roles.numerical)}
-    repair = {"duplicates": drop_duplicates(), "nulls": impute(roles, **options), "outliers": clamp(roles.numerical)}
+    fill = impute(roles.replace(datetime=()), **options)
+    repair = {"duplicates": drop_duplicates(), "nulls": fill, "outliers": clamp(roles.numerical)}
     every, fixes = tuple(damage.values()), tuple(repair.values())
     out = [Variant("original"), Variant("corrupted", every), Variant("cleaned", every, fixes)]
     out += [Variant(name, (step,)) for name, step in damage.items()]
@@ -78,7 +82,8 @@ def variant_matrix(roles: ColumnRoles, ratio: float = corrupt.NULL_RATIO, **opti
 
 def fraction_sweep(roles: ColumnRoles, ratios: Sequence[float] = tuple(i / 20 for i in range(1, 11)), **options) -> list[Variant]:
     """Rising shares of nulls, each repaired by imputation."""
-    return [Variant(f"nulls {r:.2f}", (nulls(roles, r),), (impute(roles, **options),)) for r in ratios]
+    fill = impute(roles.replace(datetime=()), **options)
+    return [Variant(f"nulls {r:.2f}", (nulls(roles, r),), (fill,)) for r in ratios]
 
 
 def run_experiment(
@@ -96,7 +101,9 @@ def run_experiment(
         for variant in variants:
             damaged = _apply(train, keys, variant.corruptions, seed + 1000 * run)
             repaired = _apply(damaged, keys, variant.cleaners, seed + 1000 * run)
+            if variant.corruptions or variant.cleaners:
+                repaired = checkpoint(repaired)  # the fit reads it many times
             row_key = keys + ([COPY] if COPY in repaired.columns else [])
             score = fit_and_score(repaired, test, row_key, roles, target, (estimator or rf_classifier)(), folds=folds, **options)
             results.append((variant.name, run, score.test_accuracy, score.cv_accuracy))
-    return df.sparkSession.createDataFrame(results, "variant string, run int, accuracy double, cv_accuracy double")
+    return small_table(df.sparkSession, results, "variant string, run int, accuracy double, cv_accuracy double")

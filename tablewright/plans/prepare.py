@@ -14,6 +14,7 @@ from tablewright.operators.impute import impute_missing
 from tablewright.operators.model import modeling_table
 from tablewright.operators.profile import null_count_total, outlier_count
 from tablewright.operators.roles import ColumnRoles, classify_columns
+from tablewright.session import small_table
 
 logger = logging.getLogger(__name__)
 
@@ -34,7 +35,7 @@ class StepLog:
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "step string, column string, seconds double, rows_affected bigint")
+        return small_table(spark, self.rows, "step string, column string, seconds double, rows_affected bigint")
 
 
 def clean(

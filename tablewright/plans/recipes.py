@@ -32,6 +32,7 @@ from tablewright.sources.files import (
     read_parquet,
     read_pyliteral_lines,
 )
+from tablewright.session import small_table
 
 Recipe = Callable[[SparkSession, str], DataFrame]
 
@@ -221,4 +222,4 @@ def integrate(spark: SparkSession, dataset: str | int, root: str) -> DataFrame:
 
 
 def dataset_catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(RECIPES, 1)), "number int, dataset string")
+    return small_table(spark, list(enumerate(RECIPES, 1)), "number int, dataset string")

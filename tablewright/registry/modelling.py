@@ -12,6 +12,7 @@ from tablewright.plans.prepare import StepLog, clean
 from tablewright.registry import query
 from tablewright.registry.corruption import damaged_orders
 from tablewright.registry.sql import h, u
+from tablewright.session import small_table
 
 ORDER_ROLES = ColumnRoles(numerical=("o_totalprice",), categorical=("o_orderpriority",), datetime=("o_orderdate",), target=("o_orderstatus",))
 
@@ -88,7 +89,7 @@ def grid_search_cv(t):
     df, _ = _vectors(t)
     found = model.grid_search_cv(df, "vec_id", model.rf_classifier(trees=10, depth=5), {"numTrees": [5, 10]}, folds=5)
     row = (int(found.params["numTrees"]), found.best_score, found.mean_score)
-    return t.spark.createDataFrame([row], "trees int, best_score double, mean_score double")
+    return small_table(t.spark, [row], "trees int, best_score double, mean_score double")
 
 
 @query("rf_baseline")
@@ -98,7 +99,7 @@ def rf_baseline(t):
     roles = ColumnRoles(numerical=("n_chars",), categorical=("lang",), long_text=("text",))
     train, test = model.train_test_split(df, "doc_id")
     score = model.rf_baseline(train, test, "doc_id", roles, "quality", trees=10, depth=5, folds=3)
-    return t.spark.createDataFrame([(score.cv_accuracy, score.test_accuracy)], "cv_accuracy double, test_accuracy double")
+    return small_table(t.spark, [(score.cv_accuracy, score.test_accuracy)], "cv_accuracy double, test_accuracy double")
 
 
 @query("new_fit")
@@ -108,7 +109,7 @@ def new_fit(t):
     roles = ColumnRoles(numerical=("n_chars",), categorical=("lang",), long_text=("text",))
     train, test = model.train_test_split(df, "doc_id")
     score = model.fit_and_score(train, test, "doc_id", roles, "quality", small_forest(), folds=3, text_components=20, embedding_size=64)
-    return t.spark.createDataFrame([(score.cv_accuracy, score.test_accuracy)], "cv_accuracy double, test_accuracy double")
+    return small_table(t.spark, [(score.cv_accuracy, score.test_accuracy)], "cv_accuracy double, test_accuracy double")
 
 
 def _orders(t):
@@ -125,33 +126,33 @@ LIGHT = {"trees": 5, "depth": 4}
 
 @query("exp_before")
 def exp_before(t):
-    return _run(t, [experiment.Variant("original")], repeats=2, sample_size=4000)
+    return _run(t, [experiment.Variant("original")], repeats=2)
 
 
 @query("exp_corrupted")
 def exp_corrupted(t):
     damage = experiment.variant_matrix(ORDER_ROLES, **LIGHT)[1]
-    return _run(t, [damage], repeats=2, sample_size=4000)
+    return _run(t, [damage])
 
 
 @query("exp_cleaned")
 def exp_cleaned(t):
-    return _run(t, [experiment.variant_matrix(ORDER_ROLES, **LIGHT)[2]], sample_size=4000)
+    return _run(t, [experiment.variant_matrix(ORDER_ROLES, **LIGHT)[2]])
 
 
 @query("exp_single")
 def exp_single(t):
-    return _run(t, experiment.variant_matrix(ORDER_ROLES, **LIGHT)[:3], sample_size=4000)
+    return _run(t, experiment.variant_matrix(ORDER_ROLES, **LIGHT)[:3])
 
 
 @query("exp_matrix")
 def exp_matrix(t):
-    return _run(t, experiment.variant_matrix(ORDER_ROLES, **LIGHT), sample_size=4000)
+    return _run(t, experiment.variant_matrix(ORDER_ROLES, **LIGHT))
 
 
 @query("exp_fraction_sweep")
 def exp_fraction_sweep(t):
-    return _run(t, experiment.fraction_sweep(ORDER_ROLES, **LIGHT), sample_size=4000)
+    return _run(t, experiment.fraction_sweep(ORDER_ROLES, **LIGHT))
 
 
 @query("step_timing")

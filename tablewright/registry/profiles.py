@@ -8,6 +8,7 @@ from tablewright.operators import clean, profile
 from tablewright.operators import roles as role_ops
 from tablewright.registry import query
 from tablewright.registry.reshaping import CUSTOMER_NULLS, customer_nulls
+from tablewright.session import small_table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -94,7 +95,7 @@ def quantiles_exact(t):
 )
 def iqr_bounds(t):
     rows = [(c, *b) for c, b in profile.iqr_bounds(t.lineitem, NUMBERS).items()]
-    df = t.spark.createDataFrame(rows, "column string, q1 double, q3 double, lower_bound double, upper_bound double")
+    df = small_table(t.spark, rows, "column string, q1 double, q3 double, lower_bound double, upper_bound double")
     return df.select("column", *[F.round(c, 6).alias(c) for c in df.columns[1:]])
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "tablewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,9 +31,17 @@ def build_session(app: str = "tablewright", master: str | None = None, **conf: s
 def configure(spark: SparkSession) -> SparkSession:
     """Timestamps are naive wall-clock values here, so the session runs in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of a few computed rows, held in the plan: reading it starts no Python task."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    table = pd.DataFrame(list(rows), columns=fields.names, dtype=object)
+    return spark.createDataFrame(table, fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
