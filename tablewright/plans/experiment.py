@@ -8,8 +8,10 @@ test rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 
@@ -88,22 +90,31 @@ def fraction_sweep(roles: ColumnRoles, ratios: Sequence[float] = tuple(i / 20 fo
 
 def run_experiment(
     df: DataFrame, key: str | Sequence[str], target: str, variants: Sequence[Variant], roles: ColumnRoles | None = None,
-    sample_size: int | None = SAMPLE_SIZE, repeats: int = REPEATS, seed: int = 0, estimator: Callable[[], Estimator] | None = None, folds: int = 5, **options,
+    sample_size: int | None = SAMPLE_SIZE, repeats: int = REPEATS, seed: int = 0, estimator: Callable[[], Estimator] | None = None,
+    folds: int = 5, parallelism: int = 4, **options,
 ) -> DataFrame:
-    """``variant, run, accuracy, cv_accuracy`` for every variant and run."""
+    """``variant, run, accuracy, cv_accuracy`` for every variant and run.
+
+    Variants of a run are independent: up to ``parallelism`` of them are submitted at a time.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    spark = df.sparkSession
     roles = roles or classify_columns(df.drop(*keys), mode="strict", target=[target])
+
+    def score(variant: Variant, run: int, train: DataFrame, test: DataFrame) -> tuple[str, int, float, float]:
+        damaged = _apply(train, keys, variant.corruptions, seed + 1000 * run)
+        repaired = _apply(damaged, keys, variant.cleaners, seed + 1000 * run)
+        if variant.corruptions or variant.cleaners:
+            repaired = checkpoint(repaired)  # the fit reads it many times
+        row_key = keys + ([COPY] if COPY in repaired.columns else [])
+        found = fit_and_score(repaired, test, row_key, roles, target, (estimator or rf_classifier)(), folds=folds, **options)
+        return variant.name, run, found.test_accuracy, found.cv_accuracy
+
     results = []
-    for run in range(repeats):
-        data = df if sample_size is None else sample_n(df, keys, sample_size, seed + run, "experiment")
-        data = checkpoint(data)
-        train, test = train_test_split(data, keys, TEST_SHARE, SPLIT_SEED + run)
-        for variant in variants:
-            damaged = _apply(train, keys, variant.corruptions, seed + 1000 * run)
-            repaired = _apply(damaged, keys, variant.cleaners, seed + 1000 * run)
-            if variant.corruptions or variant.cleaners:
-                repaired = checkpoint(repaired)  # the fit reads it many times
-            row_key = keys + ([COPY] if COPY in repaired.columns else [])
-            score = fit_and_score(repaired, test, row_key, roles, target, (estimator or rf_classifier)(), folds=folds, **options)
-            results.append((variant.name, run, score.test_accuracy, score.cv_accuracy))
-    return small_table(df.sparkSession, results, "variant string, run int, accuracy double, cv_accuracy double")
+    with ThreadPoolExecutor(parallelism) as pool:
+        for run in range(repeats):
+            data = df if sample_size is None else sample_n(df, keys, sample_size, seed + run, "experiment")
+            train, test = train_test_split(checkpoint(data), keys, TEST_SHARE, SPLIT_SEED + run)
+            jobs = [pool.submit(inheritable_thread_target(spark)(score), v, run, train, test) for v in variants]
+            results += [job.result() for job in jobs]
+    return small_table(spark, results, "variant string, run int, accuracy double, cv_accuracy double")
