@@ -58,11 +58,15 @@ class Winsorizer(Estimator):
         self.columns, self.factor = list(columns), factor
 
     def _fit(self, df: DataFrame) -> WinsorModel:
-        bounds = iqr_bounds(df, self.columns, self.factor)
-        floating = [c for c in self.columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
-        whole = {c: c not in floating for c in self.columns}
-        if floating:
-            whole.update(df.agg(*[is_integer_valued(F.col(c)).alias(c) for c in floating]).first().asDict())
+        aggs = []
+        for i, c in enumerate(self.columns):
+            floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+            aggs += [F.count(c).alias(f"n{i}"), (is_integer_valued(F.col(c)) if floating else F.lit(True)).alias(f"w{i}")]
+        if not aggs:
+            return WinsorModel({})
+        facts = df.agg(*aggs).first()
+        bounds = iqr_bounds(df, self.columns, self.factor, {c: facts[f"n{i}"] for i, c in enumerate(self.columns)})
+        whole = {c: facts[f"w{i}"] for i, c in enumerate(self.columns)}
         return WinsorModel({c: (lo, hi, whole[c]) for c, (_, _, lo, hi) in bounds.items()})
 
 
@@ -77,7 +81,7 @@ class WinsorModel(Model):
             value = F.col(c).cast("double")
             clamped = F.when(value < F.lit(lo), F.lit(lo)).when(value > F.lit(hi), F.lit(hi)).otherwise(value)
             out[c] = clamped.cast("bigint") if whole else clamped
-        return df.withColumns(out)
+        return df.withColumns(out) if out else df
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +82,12 @@ def is_integer_valued(col: Column) -> Column:
     return F.coalesce(F.bool_and(col % F.lit(1) == F.lit(0)), F.lit(True))
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR) -> dict[str, tuple[float, float, float, float]]:
+def iqr_bounds(
+    df: DataFrame, columns: Sequence[str], factor: float = IQR_FACTOR, counts: Mapping[str, int] | None = None
+) -> dict[str, tuple[float, float, float, float]]:
     """Per column: first quartile, third quartile and the two fences around them."""
     out = {}
-    for name, (q1, q3) in exact_quantiles(df, list(columns), [0.25, 0.75]).items():
+    for name, (q1, q3) in exact_quantiles(df, list(columns), [0.25, 0.75], counts=counts).items():
         if q1 is None:
             raise ValueError(f"column {name!r} has no value to take quartiles of")
         reach = factor * (q3 - q1)

@@ -44,13 +44,20 @@ def exact_draws(df: DataFrame, key: str | Sequence[str], draws: Sequence[Draw],
     """
     keys = as_keys(key)
     eligible = {d.name: F.lit(True) if d.eligible is None else d.eligible for d in draws}
-    hashes = {d.name: hash52(keys, d.salt or d.name, seed) for d in draws}
+    salts = list(dict.fromkeys(d.salt or d.name for d in draws))
+    hashes = {d.name: F.col(f"__h{salts.index(d.salt or d.name)}") for d in draws}
+    may = {d.name: F.col(f"__e{i}") for i, d in enumerate(draws)}
+    # Each hash and each test once per row, however many draws use it.
+    narrow = df.select(
+        F.struct(*[F.col(k) for k in keys]).alias("__key"),
+        *[hash52(keys, salt, seed).alias(f"__h{i}") for i, salt in enumerate(salts)],
+        *[F.coalesce(eligible[d.name], F.lit(False)).alias(f"__e{i}") for i, d in enumerate(draws)],
+    )
     prefix: dict[str, int] = {d.name: 0 for d in draws}  # digits fixed so far
     wanted: dict[str, int] = {}
     chosen: dict[str, Column] = {}
     open_draws = list(draws)
     depth = 0
-    pool: dict[str, int] = {}
     while open_draws:
         shift = HASH_BITS - DIGIT_BITS * (depth + 1)
         if shift < 0:
@@ -58,12 +65,12 @@ def exact_draws(df: DataFrame, key: str | Sequence[str], draws: Sequence[Draw],
         entries = [F.struct(F.lit(-1).alias("draw"), F.lit(0).cast("bigint").alias("digit"))] if depth == 0 else []
         for i, d in enumerate(open_draws):
             h = hashes[d.name]
-            inside = eligible[d.name]
+            inside = may[d.name]
             if depth:
                 inside = inside & (F.shiftright(h, shift + DIGIT_BITS) == F.lit(prefix[d.name]))
             digit = F.shiftright(h, shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1).cast("bigint"))
             entries.append(F.when(inside, F.struct(F.lit(i).alias("draw"), digit.alias("digit"))))
-        histogram = df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        histogram = narrow.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
         counts: dict[int, dict[int, int]] = {}
         for row in histogram.groupBy("draw", "digit").count().collect():
             counts.setdefault(row["draw"], {})[row["digit"]] = row["count"]
@@ -87,37 +94,35 @@ def exact_draws(df: DataFrame, key: str | Sequence[str], draws: Sequence[Draw],
                     break
                 wanted[d.name] -= buckets[digit]
             prefix[d.name] = (prefix[d.name] << DIGIT_BITS) + digit
-            pool[d.name] = buckets[digit]
             (finish if buckets[digit] <= SMALL else deeper).append(d)
         if finish:
-            chosen.update(_cutoffs(df, keys, finish, eligible, hashes, prefix, wanted, shift))
+            cuts = _cutoffs(narrow, keys, [(d.name, may[d.name], hashes[d.name], prefix[d.name], wanted[d.name]) for d in finish], shift)
+            for d in finish:
+                place = F.struct(hash52(keys, d.salt or d.name, seed), F.struct(*[F.col(k) for k in keys]))
+                chosen[d.name] = eligible[d.name] & (place <= cuts[d.name])
         open_draws = deeper
         depth += 1
     return {d.name: chosen[d.name] for d in draws}
 
 
-def _cutoffs(df, keys, draws, eligible, hashes, prefix, wanted, shift) -> dict[str, Column]:
-    """Order the few rows left in each draw's bucket and cut after the wanted one."""
-    key_row = F.struct(*[F.col(k) for k in keys])
-    key_type = df.select(key_row.alias("k")).schema["k"].dataType
+def _cutoffs(narrow: DataFrame, keys: list[str], draws: list[tuple], shift: int) -> dict[str, Column]:
+    """Order the few rows left in each draw's bucket; the wanted one is the last taken."""
+    key_type = narrow.schema["__key"].dataType
     entries = []
-    for i, d in enumerate(draws):
-        inside = eligible[d.name] & (F.shiftright(hashes[d.name], shift) == F.lit(prefix[d.name]))
-        entry = F.struct(F.lit(i).alias("draw"), hashes[d.name].alias("h"), key_row.alias("k"))
-        entries.append(F.when(inside, entry))
-    left = df.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    for i, (_, may, h, prefix, _) in enumerate(draws):
+        entry = F.struct(F.lit(i).alias("draw"), h.alias("h"), F.col("__key").alias("k"))
+        entries.append(F.when(may & (F.shiftright(h, shift) == F.lit(prefix)), entry))
+    left = narrow.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
     found: dict[int, list] = {}
     for row in left.orderBy("draw", "h", "k").collect():
         found.setdefault(row["draw"], []).append((row["h"], tuple(row["k"])))
     out = {}
-    for i, d in enumerate(draws):
+    for i, (name, _, _, _, wanted) in enumerate(draws):
         ordered = found[i]
-        cut = ordered[wanted[d.name] - 1]
-        if ordered[wanted[d.name] :] and ordered[wanted[d.name]] == cut:
+        cut = ordered[wanted - 1]
+        if ordered[wanted:] and ordered[wanted] == cut:
             raise ValueError(f"key {keys} does not identify the rows of the table")
-        h = hashes[d.name]
-        last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut[1], key_type.fields)])
-        out[d.name] = eligible[d.name] & ((h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (key_row <= last)))
+        out[name] = F.struct(F.lit(cut[0]).cast("bigint"), _literal(cut[1], key_type))
     return out
 
 
@@ -144,7 +149,7 @@ def head_fraction(df: DataFrame, ordinal: str, divisor: int = 100) -> DataFrame:
     k = df.count() // divisor
     if k <= SMALL:
         return df.orderBy(ordinal).limit(k)
-    return df.filter(F.col(ordinal) <= F.lit(order_statistic(df, F.col(ordinal), k)))
+    return df.filter(F.col(ordinal) <= F.lit(order_statistics(df, F.col(ordinal), [k])[k]))
 
 
 # --- order statistics --------------------------------------------------------------
@@ -156,21 +161,30 @@ def _literal(value, kind: T.DataType) -> Column:
     return F.lit(value).cast(kind)
 
 
-def order_statistic(df: DataFrame, value: Column, rank: int):
-    """The value at 1-based ``rank`` among the non-null values of ``value``.
+def order_statistics(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, object]:
+    """The values at 1-based ``ranks`` among the non-null values of ``value``.
 
     Works for any orderable type. Each pass draws a few splitters from the open
-    interval, counts the rows between them and keeps one interval, until few enough rows
-    are left to order. Values that repeat often come up as splitters and are counted
-    whole, so ties cost nothing.
+    interval, counts the rows between them and keeps the intervals that hold a rank,
+    until few enough rows are left to order. Values that repeat often come up as
+    splitters and are counted whole, so ties cost nothing.
     """
-    inside = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    kind = inside.schema["v"].dataType
-    below, left = 0, inside.count()
-    if not 1 <= rank <= left:
-        raise ValueError(f"rank {rank} is outside 1..{left}")
+    column = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    kind = column.schema["v"].dataType
+    rows = column.count()
+    if any(not 1 <= rank <= rows for rank in ranks):
+        raise ValueError(f"ranks {list(ranks)} are not all in 1..{rows}")
+    found: dict[int, object] = {}
+    # Open intervals: the rows inside, how many there are, how many lie below, ranks sought.
+    pending = [(column, rows, 0, sorted(set(ranks)))]
     attempt = 0
-    while left > SMALL:
+    while pending:
+        inside, left, below, sought = pending.pop()
+        if left <= SMALL:
+            last = sought[-1] - below
+            ordered = [row["v"] for row in inside.orderBy("v").limit(last).collect()]
+            found.update({rank: ordered[rank - below - 1] for rank in sought})
+            continue
         attempt += 1
         sample = inside.orderBy(F.rand(attempt)).limit(SPLITTERS).distinct().orderBy("v")
         splitters = [row["v"] for row in sample.collect()]
@@ -179,22 +193,20 @@ def order_statistic(df: DataFrame, value: Column, rank: int):
         step = F.size(F.filter(ladder, lambda s: s < F.col("v"))).alias("step")
         hits = inside.groupBy(step, F.array_contains(ladder, F.col("v")).alias("same")).count().collect()
         counts = {(row["step"], row["same"]): row["count"] for row in hits}
-        seek, passed = rank - below, 0
         for i in range(len(splitters) + 1):
-            between = counts.get((i, False), 0)
-            if seek <= passed + between:
-                break
-            passed += between
-            equal = counts.get((i, True), 0)
-            if seek <= passed + equal:
-                return splitters[i]
-            passed += equal
-        if i > 0:
-            inside = inside.filter(F.col("v") > literals[i - 1])
-        if i < len(splitters):
-            inside = inside.filter(F.col("v") < literals[i])
-        below, left = below + passed, between
-    return inside.orderBy("v").offset(rank - below - 1).limit(1).first()["v"]
+            between, equal = counts.get((i, False), 0), counts.get((i, True), 0)
+            here = [rank for rank in sought if below < rank <= below + between]
+            if here:
+                part = inside
+                if i > 0:
+                    part = part.filter(F.col("v") > literals[i - 1])
+                if i < len(splitters):
+                    part = part.filter(F.col("v") < literals[i])
+                pending.append((part, between, below, here))
+            below += between
+            found.update({rank: splitters[i] for rank in sought if below < rank <= below + equal})
+            below += equal
+    return found
 
 
 def rank_order(column: str, key: str | Sequence[str], seed: int) -> Column:
@@ -214,9 +226,8 @@ def rank_slice(df: DataFrame, column: str, key: str | Sequence[str], start: int,
         return F.lit(False)
     order = rank_order(column, key, seed)
     kind = df.select(order.alias("o")).schema["o"].dataType
-    first = order_statistic(df, order, start + 1)
-    last = order_statistic(df, order, start + k)
-    return (order >= _literal(first, kind)) & (order <= _literal(last, kind))
+    ends = order_statistics(df, order, [start + 1, start + k])
+    return (order >= _literal(ends[start + 1], kind)) & (order <= _literal(ends[start + k], kind))
 
 
 def rows_at_random(df: DataFrame, key, fraction: float, seed: int, salt: str = "car") -> Column:

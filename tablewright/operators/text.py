@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import vectors, words
+from tablewright.session import checkpoint
 
 logger = logging.getLogger(__name__)
 
@@ -264,38 +265,66 @@ class TextFeatures(Estimator):
         self.columns, self.embedder, self.k, self.size, self.on_error = list(columns), embedder, k, size, on_error
 
     def _fit(self, df: DataFrame) -> TextFeaturesModel:
-        fitted = []
+        model, table = self._embedded(df.select(*self.columns))
+        # The components are found in several passes; a sentence model must not run in each.
+        table = table.select(*[f"{c}_embedding" for c in self.columns]).persist()
+        try:
+            return self._reduced(model, table)
+        finally:
+            table.unpersist()
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        """Fit and apply to one table; each text is embedded once."""
+        model, table = self._embedded(df)
+        table = checkpoint(table)
+        return self._reduced(model, table).reduce(table)
+
+    def _embedded(self, df: DataFrame) -> tuple[dict, DataFrame]:
+        models = {}
+        for c in self.columns:
+            models[c] = HashedEmbedder(c, self.size).fit(df) if self.embedder is None else None
+        return models, _embed(df, models, self.embedder)
+
+    def _reduced(self, models: dict, table: DataFrame) -> TextFeaturesModel:
+        reducers = {}
         for c in self.columns:
             try:
-                embed = HashedEmbedder(c, self.size).fit(df) if self.embedder is None else None
-                table = embed.transform(df) if embed else embed_text(df, c, self.embedder)
-                fitted.append((c, embed, PcaReducer(f"{c}_embedding", c, self.k).fit(table)))
+                reducers[c] = PcaReducer(f"{c}_embedding", c, self.k).fit(table)
             except ValueError:
                 if self.on_error != "skip":
                     raise
                 logger.warning("no text features for column %r", c, exc_info=True)
-        return TextFeaturesModel(fitted, self.embedder)
+        return TextFeaturesModel({c: models[c] for c in reducers}, reducers, self.embedder, self.columns)
+
+
+def _embed(df: DataFrame, models: dict, embedder: Callable[[Column], Column] | None) -> DataFrame:
+    for c, model in models.items():
+        df = model.transform(df) if model else embed_text(df, c, embedder)
+    return df
 
 
 class TextFeaturesModel(Model):
-    def __init__(self, fitted: list, embedder: Callable[[Column], Column] | None):
+    def __init__(self, models: dict, reducers: dict[str, PcaReducerModel], embedder: Callable[[Column], Column] | None, columns: Sequence[str]):
         super().__init__()
-        self.fitted, self.embedder = fitted, embedder
+        self.models, self.reducers, self.embedder, self.columns = models, reducers, embedder, list(columns)
 
     @property
     def features(self) -> list[str]:
         out = []
-        for c, _, reducer in self.fitted:
+        for c, reducer in self.reducers.items():
             out += reducer.features + [f"{c}_embedding_{s}" for s in vectors.STATS]
         return out
 
+    def reduce(self, embedded: DataFrame) -> DataFrame:
+        """Components and statistics of a table that has the embeddings; they are dropped."""
+        out = embedded
+        for c, reducer in self.reducers.items():
+            out = embedding_stats(reducer.transform(out), f"{c}_embedding")
+        return out.drop(*[f"{c}_embedding" for c in self.columns])
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for c, embed, reducer in self.fitted:
-            out = embed.transform(out) if embed else embed_text(out, c, self.embedder)
-            out = embedding_stats(reducer.transform(out), f"{c}_embedding").drop(f"{c}_embedding")
-        return out
+        return self.reduce(_embed(df, self.models, self.embedder))
 
 
 def extract_text_features(df: DataFrame, columns: Sequence[str], embedder=None, k: int = COMPONENTS, size: int = EMBEDDING_SIZE, on_error: str = "raise") -> DataFrame:
-    return TextFeatures(columns, embedder, k, size, on_error).fit(df).transform(df)
+    return TextFeatures(columns, embedder, k, size, on_error).fit_transform(df)

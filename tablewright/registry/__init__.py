@@ -33,6 +33,16 @@ class Tables:
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table dealt out over the cores if its files make fewer partitions than that.
+
+        Only for scans: asking a plan with shuffles for its partitions would run them.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:

@@ -25,13 +25,13 @@ def word_count(t):
 
 @query("tokenize", f"SELECT doc_id, array_to_string({TOKENS}, ' ') AS tokens FROM documents")
 def tokenize(t):
-    return t.documents.select("doc_id", F.array_join(words.tokenize(F.col("text")), " ").alias("tokens"))
+    return t.dealt("documents").select("doc_id", F.array_join(words.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query("remove_stopwords", f"SELECT doc_id, array_to_string({KEPT}, ' ') AS tokens FROM documents")
 def remove_stopwords(t):
     kept = words.remove_stopwords(words.tokenize(F.col("text")))
-    return t.documents.select("doc_id", F.array_join(kept, " ").alias("tokens"))
+    return t.dealt("documents").select("doc_id", F.array_join(kept, " ").alias("tokens"))
 
 
 @query(
@@ -41,7 +41,7 @@ def remove_stopwords(t):
 )
 def ngrams(t):
     kept = words.remove_stopwords(words.tokenize(F.col("text")))
-    pairs = t.documents.select("doc_id", kept.alias("kept")).select("doc_id", words.ngrams(F.col("kept"), 2).alias("pairs"))
+    pairs = t.dealt("documents").select("doc_id", kept.alias("kept")).select("doc_id", words.ngrams(F.col("kept"), 2).alias("pairs"))
     return pairs.select("doc_id", F.array_join("pairs", "|").alias("bigrams"))
 
 
@@ -53,7 +53,7 @@ def ngrams(t):
 def hashing_tf(t):
     # Which bucket a bigram falls into is Spark's hash; that all are counted can be checked.
     kept = words.ngrams(words.remove_stopwords(words.tokenize(F.col("text"))), 2)
-    df = HashingTF(inputCol="pairs", outputCol="tf", numFeatures=text.HASH_BUCKETS).transform(t.documents.select("doc_id", kept.alias("pairs")))
+    df = HashingTF(inputCol="pairs", outputCol="tf", numFeatures=text.HASH_BUCKETS).transform(t.dealt("documents").select("doc_id", kept.alias("pairs")))
     counts = vector_to_array("tf")
     total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
     return df.select("doc_id", total.alias("total"), F.size(counts).cast("bigint").alias("buckets"))
@@ -65,7 +65,7 @@ VOCABULARY = f"""c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id,
 
 @query("idf", f"WITH {VOCABULARY} SELECT term, total, df, round(idf, 9) AS idf FROM v")
 def idf(t):
-    counts = text.term_counts(t.documents, "doc_id", "text")
+    counts = text.term_counts(t.dealt("documents"), "doc_id", "text")
     return text.vocabulary(counts, t.documents.count()).withColumn("idf", F.round("idf", 9))
 
 
@@ -77,12 +77,12 @@ def _tfidf_sql(size: int | None) -> str:
 
 @query("tfidf_vocab", _tfidf_sql(500))
 def tfidf_vocab(t):
-    return text.tfidf_terms(t.documents, "doc_id", "text", 500).withColumn("weight", F.round("weight", 9))
+    return text.tfidf_terms(t.dealt("documents"), "doc_id", "text", 500).withColumn("weight", F.round("weight", 9))
 
 
 @query("tfidf_vocab_all", _tfidf_sql(None))
 def tfidf_vocab_all(t):
-    return text.tfidf_terms(t.documents, "doc_id", "text").withColumn("weight", F.round("weight", 9))
+    return text.tfidf_terms(t.dealt("documents"), "doc_id", "text").withColumn("weight", F.round("weight", 9))
 
 
 @query(
@@ -92,22 +92,23 @@ def tfidf_vocab_all(t):
         SELECT doc_id, coalesce(terms, 0) AS terms, round(coalesce(total, 0), 8) AS total FROM documents LEFT JOIN s USING (doc_id)""",
 )
 def tfidf_vectors(t):
-    model = text.TfidfVectorizer("text", 500).fit(t.documents)
+    documents = t.dealt("documents")
+    model = text.TfidfVectorizer("text", 500).fit(documents)
     values = vector_to_array("text_tfidf")
     filled = F.size(F.filter(values, lambda x: x > 0)).cast("bigint")
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return model.transform(t.documents).select("doc_id", filled.alias("terms"), F.round(total, 8).alias("total"))
+    return model.transform(documents).select("doc_id", filled.alias("terms"), F.round(total, 8).alias("total"))
 
 
 @query("text_tfidf_hash")
 def text_tfidf_hash(t):
-    df, features = text.text_tfidf_hash(t.documents.select("doc_id", "text", "source"), ["text", "source"])
+    df, features = text.text_tfidf_hash(t.dealt("documents").select("doc_id", "text", "source"), ["text", "source"])
     return df.select("doc_id", *[vector_to_array(f).alias(f) for f in features])
 
 
 @query("text_embedding")
 def text_embedding(t):
-    df = text.embed_text(t.documents.select("doc_id", "text"), "text")
+    df = text.embed_text(t.dealt("documents").select("doc_id", "text"), "text")
     return df.select("doc_id", F.size("text_embedding").alias("width"), "text_embedding")
 
 
@@ -135,4 +136,4 @@ def pca_reduce(t):
 
 @query("extract_text_features")
 def extract_text_features(t):
-    return text.extract_text_features(t.documents.select("doc_id", "text"), ["text"]).drop("text")
+    return text.extract_text_features(t.dealt("documents").select("doc_id", "text"), ["text"]).drop("text")
