@@ -19,6 +19,7 @@ DATE_LAYOUTS = {
     "MMMM d, yyyy": r"^\p{L}{4,} \d{1,2}, \d{4}$",
 }
 STRICT_LAYOUT = "M d, yyyy"
+SHORTEST_DATE, LONGEST_DATE = 4, 128  # bytes, time zone names included
 UNIX_RANGE = (1e9, 2e9)
 
 PARTS = ["year", "month", "day", "weekday", "weekday_sin", "weekday_cos"]
@@ -34,7 +35,9 @@ def parse_text(col: Column, layouts: list[str] | None = None) -> Column:
     if layouts is not None:
         return F.coalesce(*[_parse(col, layout) for layout in layouts])
     iso = F.when(col.rlike(ISO_SHAPE), col.try_cast("timestamp"))
-    return F.coalesce(iso, *[_parse(col, layout) for layout in DATE_LAYOUTS])
+    parsed = F.coalesce(iso, *[_parse(col, layout) for layout in DATE_LAYOUTS])
+    # The length in bytes is stored with the text: most texts never reach a pattern.
+    return F.when(F.octet_length(col).between(SHORTEST_DATE, LONGEST_DATE), parsed)
 
 
 def from_unix(col: Column) -> Column:

@@ -32,7 +32,8 @@ def word_count(col: Column) -> Column:
 
 def more_words_than(col: Column, n: int) -> Column:
     """Whether a text has more than ``n`` words; reading stops at the first one too many."""
-    return col.rlike(rf"(?U)^\s*(?:\S+\s+){{{n}}}\S")
+    # n + 1 words and n spaces take at least that many bytes, a length stored with the text.
+    return (F.octet_length(col) > 2 * n) & col.rlike(rf"(?U)^\s*(?:\S+\s+){{{n}}}\S")
 
 
 def terms(col: Column) -> Column:
