@@ -104,7 +104,7 @@ CHAIN = f"""WITH a AS (SELECT o_orderkey, o_custkey, o_totalprice, 0::BIGINT AS
             UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 1 FROM {_place('orders', 'o_orderkey', 'duplicates', 21)} WHERE place <= 900),
        b AS (SELECT o_orderkey, o_custkey, copy, CASE WHEN {nth('o_orderkey, copy', 'null:o_totalprice', 21)} > floor((SELECT count(*) FROM a) * 0.05)
              THEN o_totalprice END AS o_totalprice FROM a),
-       c AS (SELECT o_orderkey, o_custkey, copy, CASE WHEN {nth('o_orderkey, copy', 'outlier:o_totalprice', 21)} <= 500
+       c AS (SELECT o_orderkey, o_custkey, copy, CASE WHEN {nth('o_orderkey, copy', 'outlier:o_totalprice', 21)} <= least(500, (SELECT count(*) // 10 FROM b))
              THEN CASE WHEN {u('o_orderkey, copy', 'side:o_totalprice', 21)} > 0.5
                        THEN hi * (2.0 + 8.0 * {u('o_orderkey, copy', 'factor:o_totalprice', 21)})
                        ELSE lo / (2.0 + 8.0 * {u('o_orderkey, copy', 'factor:o_totalprice', 21)}) END
