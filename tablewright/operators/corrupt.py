@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.hashing import as_keys, draw, hash52, u
 from tablewright.operators.profile import is_integer_valued
