@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablewright.session import configure, shared_dir
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Rows of an Arrow batch; with long texts the default of 10,000 rows fills a worker's memory.
 BATCH_ROWS = 1024
 
