@@ -8,14 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.common import table
+from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and what the random field adds."""
+    return scan_secrets(table(spark, folder, "documents"), "text", "doc_id", keep=["doc_id"])
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level BPE."""
     return count_tokens(table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_token_counts,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op9_token_counts)}
