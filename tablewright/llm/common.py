@@ -54,6 +54,20 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def sample_texts(df: DataFrame, key: str, text: str, most: int) -> pa.Array:
+    """At most ``most`` texts, the first by hash of key and text; the driver gets few more than that.
+
+    For training only. A share of the hash range that holds about one and a half times as many
+    rows is cut out first, so what each partition sends shrinks as the table grows.
+    """
+    spread = F.xxhash64(F.col(key), F.col(text))
+    rows = df.filter(F.col(text).isNotNull())
+    total = rows.count()
+    if total > 2 * most:
+        rows = rows.filter(spread < F.lit(int((3.0 * most / total - 1) * (1 << 63))))
+    return pa.array([r[0] for r in rows.orderBy(spread, text).select(text).limit(most).collect()], pa.large_string())
+
+
 def strings(column) -> pa.Array:
     """A text column as one array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

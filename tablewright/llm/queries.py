@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.llm.common import table
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
+from tablewright.llm.toxicity import fit_classifier, score_toxicity
 
 ORACLES: dict[str, str] = {}
 
@@ -19,9 +21,22 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"), "text", "doc_id", keep=["doc_id"])
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """The fold that no label may be learned from; a null id belongs to no fold."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document, learned outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = fit_classifier(docs, labels, "doc_id", "text", "toxic", ~held_out())
+    scored = score_toxicity(docs, "text", model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level BPE."""
     return count_tokens(table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op7_toxicity, op9_token_counts)}
