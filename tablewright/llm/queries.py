@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import table
+from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
 from tablewright.llm.toxicity import fit_classifier, score_toxicity
@@ -39,4 +40,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op7_toxicity, op9_token_counts)}
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th one."""
+    return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
