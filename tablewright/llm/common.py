@@ -154,3 +154,12 @@ def run_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
         out = out * np.uint64(BASE) + hashes[k : k + count]
     at = np.flatnonzero(owner[:count] == owner[n - 1 :])
     return mixed(out[at]), at
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns that an operator is about to add renamed to ``<name>_input``."""
+    taken, out = {n.lower() for n in names}, df
+    for c in df.columns:
+        if c.lower() in taken:
+            out = out.withColumnRenamed(c, f"{c}_input")
+    return out

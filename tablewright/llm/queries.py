@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm import line_dedup, mixing
 from tablewright.llm.common import table
 from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
@@ -22,6 +23,25 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"), "text", "doc_id", keep=["doc_id"])
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, repeated towards weights that follow size ** 0.7, shuffled."""
+    return mixing.mix_sources(table(spark, folder, "documents"), "doc_id", "source", "text")
+
+
+ORACLES["op2_mix_sources"] = mixing.SQL.format(documents="documents")
+
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without lines that 10 or more sources hold."""
+    cleaned = line_dedup.remove_boilerplate(table(spark, folder, "documents"), "doc_id", "text", "source")
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLES["op6_line_dedup"] = line_dedup.SQL.format(documents="documents") + """
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
 def held_out(key: str = "doc_id") -> Column:
     """The fold that no label may be learned from; a null id belongs to no fold."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -45,4 +65,4 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import blocks, raw, strings
+from tablewright.llm.common import blocks, raw, sample_texts, strings
 
 #: The fixed patterns, in the order of their kinds, with the least length of the group tested.
 PATTERNS = {
@@ -326,8 +326,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def fit_field(df: DataFrame, text: str, key: str) -> Field:
     """Train on at most ``SAMPLE_TEXTS`` texts of at most ``SAMPLE_CHARS`` characters, chosen by hash of ``key``."""
-    rows = df.filter(F.length(text) <= SAMPLE_CHARS).orderBy(F.xxhash64(key), text).select(text).limit(SAMPLE_TEXTS).collect()
-    return train(pa.array([r[0] for r in rows], pa.large_string()))
+    return train(sample_texts(df.filter(F.length(text) <= SAMPLE_CHARS), key, text, SAMPLE_TEXTS))
 
 
 def scan_block(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
