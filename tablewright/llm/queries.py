@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm import line_dedup, mixing
 from tablewright.llm.common import table
+from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
@@ -31,6 +32,13 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op2_mix_sources"] = mixing.SQL.format(documents="documents")
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of which it holds a copy, exact or edited."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = find_leaks(docs, "text", items, "item_id", "text", keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without lines that 10 or more sources hold."""
     cleaned = line_dedup.remove_boilerplate(table(spark, folder, "documents"), "doc_id", "text", "source")
@@ -65,4 +73,4 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
