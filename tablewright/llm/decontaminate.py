@@ -28,7 +28,7 @@ from tablewright.llm.common import blocks, lower_words, run_hashes, set_aside, s
 
 RUN = 3
 RARE = 1e-8
-SCORE = 0.5
+SCORE = 0.45
 #: Scores of equal and different words, and of a word that only one side has.
 EQUAL, DIFFERENT, GAP = 2.0, -1.0, -1.0
 ITEM_BLOCK = 1_000_000

@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import line_dedup, mixing
+from tablewright.llm import chat, line_dedup, mixing
 from tablewright.llm.common import table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
 from tablewright.llm.toxicity import fit_classifier, score_toxicity
+from tablewright.session import small_table
 
 ORACLES: dict[str, str] = {}
 
@@ -39,6 +40,15 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, formatted and read back; conversation -1 tries control strings."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = small_table(spark, [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.read_back(chat.format_turns(own.unionByName(more), path), path))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without lines that 10 or more sources hold."""
     cleaned = line_dedup.remove_boilerplate(table(spark, folder, "documents"), "doc_id", "text", "source")
@@ -73,4 +83,4 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op5_chat_format, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
