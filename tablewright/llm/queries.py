@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import chat, line_dedup, mixing
 from tablewright.llm.common import table
 from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.jaccard_join import near_duplicates
 from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.token_counts import count_tokens
@@ -73,6 +74,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles, similarity from 0.8."""
+    return near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document under the byte-level BPE."""
     return count_tokens(table(spark, folder, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
@@ -83,4 +89,4 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op5_chat_format, op6_line_dedup, op7_toxicity, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours)}
