@@ -14,6 +14,7 @@ from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.jaccard_join import near_duplicates
 from tablewright.llm.neighbours import nearest
 from tablewright.llm.secrets import scan_secrets
+from tablewright.llm.suffix_dedup import dedupe_substrings
 from tablewright.llm.token_counts import count_tokens
 from tablewright.llm.toxicity import fit_classifier, score_toxicity
 from tablewright.session import small_table
@@ -41,6 +42,11 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier."""
+    return dedupe_substrings(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, formatted and read back; conversation -1 tries control strings."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,4 +95,4 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours)}
