@@ -266,3 +266,20 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = THRES
     classes = classes.select("id", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sketched.select("key", "id").join(classes, "id", "left")
     return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(df: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with one row of each class, the one with the least key; rows with null keys stay.
+
+    Rows with one key and different texts count as different documents and stay if any of them
+    is kept; equal rows with one key are one document.
+    """
+    classes = near_duplicates(df, key, text, threshold)
+    rows = classes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.bool_and(F.col(key) != F.col("class_id")).alias("gone"), F.count("*").alias("rows"))
+    rows = stored(rows.filter("gone OR rows > 1"))
+    gone = rows.filter("gone").select(F.col(key).alias("__key"))
+    kept = df.join(maybe_broadcast(gone, KEYS), df[key].cast("long") == F.col("__key"), "left_anti")
+    if rows.filter("NOT gone").isEmpty():
+        return kept
+    with_key = kept.filter(F.col(key).isNotNull()).dropDuplicates([key, text])
+    return with_key.unionByName(kept.filter(F.col(key).isNull()))

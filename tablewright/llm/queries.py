@@ -95,4 +95,11 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours)}
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents after all stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours, pipeline)}
