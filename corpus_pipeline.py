@@ -19,7 +19,7 @@ from tablewright.llm.toxicity import fit_classifier, score_toxicity
 from tablewright.session import scratch_path
 
 #: Score from which a document is rejected as toxic.
-REJECTED = 0.5
+REJECTED = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
