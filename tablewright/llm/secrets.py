@@ -258,7 +258,7 @@ def train(texts: pa.Array, passes: int = PASSES) -> Field:
         y = silver(t)
         odd = ((t.code >> 7) >= 2) & ((t.code & DIGIT) > 0)
         wanted = (y != O) | odd | (rng.random(y.size) < 0.002)
-        spread = np.convolve(wanted, np.ones(2 * NEAR + 1), "same") > 0
+        spread = np.convolve(wanted, np.ones(2 * NEAR + 1))[NEAR : NEAR + y.size] > 0
         at = np.flatnonzero(spread)
         x = t.context(at)
         cuts = np.flatnonzero((np.diff(at, prepend=-2) != 1) | t.first[at])
