@@ -17,19 +17,27 @@ from tablewright.session import small_table
 logger = logging.getLogger(__name__)
 
 ONE_HOT_LIMIT = 10
-DICTIONARY_LIMIT = 100_000  # categories that may travel to every task
+WIDEST = 2000  # indicator columns of one category column that a table may get
+DICTIONARY_LIMIT, DICTIONARY_BYTES = 100_000, 64 << 20  # categories that may travel to every task
 
 
 def dictionaries(df: DataFrame, columns: Sequence[str], limit: int = DICTIONARY_LIMIT) -> dict[str, list | None]:
     """Sorted distinct non-null values per column; null where there are more than ``limit``.
 
-    One sketch pass sizes all columns; only columns that fit come to the driver.
+    One pass sketches the number of values and finds the longest; only columns that fit, and
+    together have at most ``DICTIONARY_BYTES``, come to the driver.
     """
     if not columns:
         return {}
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    longest = [F.max(F.octet_length(F.col(c).cast("string"))).alias(f"__{i}") for i, c in enumerate(columns)]
+    sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns], *longest).first()
     out: dict[str, list | None] = {}
-    small = [c for c in columns if sizes[c] <= limit]
+    small, held = [], 0
+    for i, c in sorted(enumerate(columns), key=lambda ic: sizes[ic[1]]):
+        need = sizes[c] * (sizes[f"__{i}"] or 0)
+        if sizes[c] <= limit and held + need <= DICTIONARY_BYTES:
+            small.append(c)
+            held += need
     # Small columns share one job: the set of values of each is bounded by the check above.
     if small:
         sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in small]).first()
@@ -54,7 +62,8 @@ def code_column(column: str, values: Sequence) -> Column:
 class CategoricalEncoder(Estimator):
     """Indicators for columns of at most 10 values, sorted codes ``{column}_label`` for others.
 
-    ``one_hot_limit=None`` makes indicators for every column, ``0`` codes for every column.
+    ``one_hot_limit=None`` makes indicators for every column, ``0`` codes for every column. A
+    column with too many values for indicator columns raises; see ``IndicatorVector``.
     With ``on_error="skip"`` a column that cannot be encoded is logged and left out.
     """
 
@@ -72,6 +81,9 @@ class CategoricalEncoder(Estimator):
                 logger.warning("no column %r to encode", c)
         words = dictionaries(df, known, self.limit)
         hot = {c: v for c, v in words.items() if v is not None and (self.one_hot_limit is None or len(v) <= self.one_hot_limit)}
+        for c, v in words.items():
+            if self.one_hot_limit is None and (v is None or len(v) > WIDEST):
+                raise ValueError(f"{c!r} has too many values for a column each; use IndicatorVector")
         tables = {c: dense_codes(df, c) for c, v in words.items() if v is None}
         labels = {c: v for c, v in words.items() if v is not None and c not in hot}
         return CategoricalModel(known, hot, labels, tables, self.label_suffix)
@@ -121,6 +133,42 @@ def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return CategoricalEncoder(columns, one_hot_limit=None).fit(df).transform(df)
 
 
+class IndicatorVector(Estimator):
+    """Indicators for all values of a column as one sparse vector ``{column}_vector``.
+
+    Values are numbered in sorted order; null and unknown values are all zero. Works for any
+    number of values: beyond the dictionary limit their numbers are joined, not shipped.
+    """
+
+    def __init__(self, column: str, limit: int = DICTIONARY_LIMIT):
+        super().__init__()
+        self.column, self.limit = column, limit
+
+    def _fit(self, df: DataFrame) -> IndicatorVectorModel:
+        codes = CategoricalEncoder([self.column], one_hot_limit=0, label_suffix="__code", limit=self.limit).fit(df.select(self.column))
+        table = codes.tables.get(self.column)
+        width = table.count() if table is not None else len(codes.labels.get(self.column) or codes.hot.get(self.column) or [])
+        return IndicatorVectorModel(self.column, codes, width)
+
+
+class IndicatorVectorModel(Model):
+    def __init__(self, column: str, codes: CategoricalModel, width: int):
+        super().__init__()
+        self.column, self.codes, self.width = column, codes, width
+
+    @property
+    def output(self) -> str:
+        return f"{self.column}_vector"
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        place = f"{self.column}__code"
+        coded = self.codes.transform(df).withColumn(place, F.when(F.col(place) < 0, self.width).otherwise(F.col(place)).cast("double"))
+        # The number after the last value stands for the others; its place in the vector is dropped.
+        sizes = small_table(df.sparkSession, [(float(max(self.width, 1) - 1),)], f"{place} double")
+        hot = OneHotEncoder(inputCol=place, outputCol=self.output, handleInvalid="keep", dropLast=True).fit(sizes)
+        return hot.transform(coded).drop(place)
+
+
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return CategoricalEncoder(columns, one_hot_limit=0).fit(df).transform(df)
 

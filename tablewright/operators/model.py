@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import HASH_BITS, hash52
-from tablewright.operators.encode import CategoricalEncoder, DatetimeEncoder, StandardScaler, label_index
+from tablewright.operators.encode import CategoricalEncoder, DatetimeEncoder, IndicatorVector, StandardScaler, label_index
 from tablewright.operators.relational import drop_prefixed
 from tablewright.operators.roles import ColumnRoles
 from tablewright.operators.selection import Draw, exact_draws
@@ -187,41 +187,34 @@ def fit_and_score(
     return Score(search.best_score, accuracy(named, "p", "a").first()["accuracy"], search)
 
 
-def baseline_stages(train: DataFrame, roles: ColumnRoles, target: str) -> tuple[list[Model], list[str]]:
-    """Scaled numbers, indicators for all categories, term weights for each text column."""
-    parts: list[Model] = []
-    names: list[str] = []
-    if roles.numerical:
-        scaler = StandardScaler(roles.numerical).fit(train)
-        parts.append(scaler)
-        names += scaler.features
+def baseline_stages(roles: ColumnRoles, target: str) -> list:
+    """Scaled numbers, indicators for all categories and term weights of each text, as one vector."""
     categories = [c for c in roles.categorical if c != target]
-    if categories:
-        encoder = CategoricalEncoder(categories, one_hot_limit=None).fit(train)
-        parts.append(encoder)
-        names += encoder.features
-    for c in roles.text:
-        weights = TfidfVectorizer(c).fit(train)
-        parts.append(weights)
-        names.append(weights.output)
-    return parts, names
-
-
-def rf_baseline(
+    stages: list = [StandardScaler(roles.numerical)] if roles.numerical else []
+    stages += [IndicatorVector(c) for c in categories] + [TfidfVectorizer(c) for c in roles.text]
+    names = [f"{c}_scaled" for c in roles.numerical] + [f"{c}_vector" for c in categories] + [f"{c}_tfidf" for c in roles.text]
+    return [*stages, VectorAssembler(inputCols=names, outputCol="features")]
+
+
+def rf_pipeline(
     train: DataFrame, test: DataFrame, key, roles: ColumnRoles, target: str, trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH, folds: int = FOLDS, seed: int = SPLIT_SEED
 ) -> Score:
-    """Scale, indicate, weigh terms, then a forest found by cross-validation."""
+    """Scale, indicate, weigh terms, then a forest, searched as one pipeline.
+
+    The scales, categories and term weights of a fold come from its own train rows only.
+    Rows without a number have no features and are left out on both sides.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    parts, names = baseline_stages(train, roles, target)
 
-    def featured(df: DataFrame) -> DataFrame:
-        for part in parts:
-            df = part.transform(df)
-        return to_vector(df.withColumn("__label", F.col(target).cast("string")), names)
+    def whole(df: DataFrame) -> DataFrame:
+        known = df.filter(F.col(target).isNotNull()).na.drop("any", subset=list(roles.numerical)) if roles.numerical else df.filter(F.col(target).isNotNull())
+        return known.withColumn("__label", F.col(target).cast("string"))
 
-    indexed, classes = label_index(featured(train), "__label", "label")
-    search = grid_search_cv(indexed.select(*keys, "label", "features"), keys, rf_classifier(trees, depth, seed), None, folds, seed)
-    scored = search.model.transform(featured(test))
+    columns = [*keys, *roles.numerical, *[c for c in roles.categorical if c != target], *roles.text]
+    indexed, classes = label_index(whole(train), "__label", "label")
+    pipeline = Pipeline(stages=[*baseline_stages(roles, target), rf_classifier(trees, depth, seed)])
+    search = grid_search_cv(indexed.select(*dict.fromkeys([*columns, "label"])), keys, pipeline, None, folds, seed)
+    scored = search.model.transform(whole(test))
     values = F.array(*[F.lit(c) for c in classes])
     named = scored.select(F.element_at(values, (F.col("prediction") + 1).cast("int")).alias("p"), F.col("__label").alias("a"))
     return Score(search.best_score, accuracy(named, "p", "a").first()["accuracy"], search)

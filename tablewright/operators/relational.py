@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LIST_LIMIT = 1_000_000
-
 
 def merge(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")
@@ -118,47 +116,39 @@ def sort_by_column(df: DataFrame, column: str, *key: str) -> DataFrame:
     return df.orderBy(F.col(column).asc_nulls_last(), *key)
 
 
-def collect_lists(df: DataFrame, key: str, value: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """All values per key as a sorted list; rows with a null key are left out.
+# What one array of the engine can hold.
+LONGEST_LIST = (1 << 31) - 16
+LIST_BUCKETS = 64
+
 
-    Equal values are counted before the shuffle. A key with more than ``limit`` values
-    comes as several rows numbered by ``part``, so no task holds an unbounded list;
-    every other key is one row with part 0.
+def collect_lists(df: DataFrame, key: str, value: str) -> DataFrame:
+    """All values per key as one sorted list; rows with a null key are left out.
+
+    Equal values are counted before the shuffle. Lists are built in two stages, per key and
+    bucket of values and then per key, so a large key is gathered by many tasks; its one
+    list is the result, and as long as the caller's data make it. A list longer than the
+    engine's arrays raises.
     """
     counted = df.filter(F.col(key).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = counted.groupBy(key).agg(F.sum("__n").alias("__size"))
-    # One value repeated beyond the limit is itself cut into runs of at most `limit`.
-    runs = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / limit)),
-        lambda i: F.struct(i.alias("run"), F.least(F.col("__n") - i * limit, F.lit(limit)).cast("int").alias("times")),
-    )
-    large = sizes.filter(F.col("__size") > limit).withColumn("__parts", F.ceil(F.col("__size") / limit))
-    # At most rows/limit keys are large. Their count decides nothing but the plan.
-    pieces = counted.join(large.select(key, "__parts"), key, "left").select(
-        key, value, F.coalesce("__parts", F.lit(1)).alias("__parts"), F.inline(runs)
-    )
-    part = F.pmod(F.xxhash64(value) + F.col("run"), F.col("__parts"))
-    repeated = F.array_repeat(F.struct(F.col(value).alias("v")), F.col("times"))
-    return (
-        pieces.groupBy(key, part.alias("part"))
-        .agg(F.flatten(F.collect_list(repeated)).alias("__v"))
-        .select(key, "part", F.sort_array(F.transform("__v", lambda s: s["v"])).alias(value))
-    )
-
-
-def undirected_adjacency(edges: DataFrame, a: str, b: str, node: str = "user", neighbours: str = "connections", limit: int = LIST_LIMIT) -> DataFrame:
-    """Neighbour set of each node of an undirected edge list.
-
-    Both directions are made from one scan and repeated edges are dropped before the
-    lists are built. ``part`` numbers the rows of a node with more than ``limit``
-    neighbours.
+    bucket = F.pmod(F.xxhash64(value), F.lit(LIST_BUCKETS))
+    size = F.when(F.col("__n") <= LONGEST_LIST, F.col("__n").cast("int")).otherwise(F.raise_error(F.lit("a list is longer than an array can be")).cast("int"))
+    repeated = F.array_repeat(F.struct(F.col(value).alias("v")), size)
+    parts = counted.groupBy(key, bucket.alias("__bucket")).agg(F.flatten(F.collect_list(repeated)).alias("__v"))
+    return parts.groupBy(key).agg(F.flatten(F.collect_list("__v")).alias("__v")).select(key, F.sort_array(F.transform("__v", lambda s: s["v"])).alias(value))
+
+
+def undirected_edges(edges: DataFrame, a: str, b: str, node: str = "user", neighbour: str = "connection") -> DataFrame:
+    """Each edge in both directions, repeated ones once: the neighbours of a node as rows."""
+    both = F.array(F.struct(F.col(a).alias(node), F.col(b).alias(neighbour)), F.struct(F.col(b).alias(node), F.col(a).alias(neighbour)))
+    return edges.select(F.inline(both)).distinct()
+
+
+def undirected_adjacency(edges: DataFrame, a: str, b: str, node: str = "user", neighbours: str = "connections") -> DataFrame:
+    """Neighbour set of each node of an undirected edge list, one row per node.
+
+    For nodes with more neighbours than a list should hold, use ``undirected_edges``.
     """
-    both = F.array(
-        F.struct(F.col(a).alias(node), F.col(b).alias(neighbours)),
-        F.struct(F.col(b).alias(node), F.col(a).alias(neighbours)),
-    )
-    pairs = edges.select(F.inline(both)).distinct()
-    return collect_lists(pairs, node, neighbours, limit)
+    return collect_lists(undirected_edges(edges, a, b, node, neighbours), node, neighbours)
 
 
 def groupable(col: Column, kind: T.DataType) -> Column:

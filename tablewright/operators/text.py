@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
     PCA,
-    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
@@ -36,18 +37,29 @@ logger = logging.getLogger(__name__)
 HASH_BUCKETS = 100
 COMPONENTS = 100
 EMBEDDING_SIZE = 384
-VOCABULARY_LIMIT = 1 << 18  # longest vector a vocabulary may make
-SHIPPED_TERMS = 100_000  # terms that may travel to every task
+SHIPPED_TERMS, SHIPPED_BYTES = 1_000_000, 64 << 20  # a vocabulary that may travel to every task
 
 
 # --- term weights --------------------------------------------------------------------
 
 
+def row_term_counts(df: DataFrame, key: str | Sequence[str], column: str) -> DataFrame:
+    """The distinct terms of each row and how often they occur: ``key, terms, tfs``, without a shuffle."""
+    keys = [key] if isinstance(key, str) else list(key)
+    # Runs of equal terms in the sorted terms: each begins where a term differs from the one before.
+    terms, heads = F.col("__terms"), F.col("__heads")
+    n = F.size(terms)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    listed = df.select(*keys, F.sort_array(_term_column(column)).alias("__terms"))
+    begun = listed.select(*keys, "__terms", F.filter(places, lambda i: (i == 1) | (F.get(terms, i - 1) != F.get(terms, i - 2))).alias("__heads"))
+    runs = F.transform(heads, lambda h, k: (F.coalesce(F.get(heads, k + 1), n + 1) - h).cast("bigint"))
+    return begun.select(*keys, F.transform(heads, lambda h: F.get(terms, h - 1)).alias("terms"), runs.alias("tfs"))
+
+
 def term_counts(df: DataFrame, key: str | Sequence[str], column: str) -> DataFrame:
     """How often each term occurs in each row: ``key, term, tf``."""
     keys = [key] if isinstance(key, str) else list(key)
-    exploded = df.select(*keys, F.explode(words.terms(F.col(column))).alias("term"))
-    return exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return row_term_counts(df, keys, column).select(*keys, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
 
 
 def vocabulary(counts: DataFrame, rows: int, size: int | None = None) -> DataFrame:
@@ -58,27 +70,49 @@ def vocabulary(counts: DataFrame, rows: int, size: int | None = None) -> DataFra
     return terms if size is None else terms.orderBy(F.col("total").desc(), "term").limit(size)
 
 
+def _shippable(terms: DataFrame) -> bool:
+    """Whether a vocabulary is small enough, by terms and by bytes, for every task to hold it."""
+    row = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+    return row["n"] <= SHIPPED_TERMS and (row["bytes"] or 0) <= SHIPPED_BYTES
+
+
 def tfidf_terms(df: DataFrame, key: str, column: str, size: int | None = None) -> DataFrame:
     """Long form of the weights: ``key, term, weight``, each row of ``df`` scaled to length 1.
 
-    No vocabulary reaches the driver, so it may be as large as the texts make it.
+    All terms of a row lie in that row, so with a vocabulary that every task can hold they are
+    weighed and scaled there and only the totals of terms are shuffled. A larger vocabulary is
+    joined, and its pairs are shuffled.
     """
-    counts = term_counts(df, key, column)
-    terms = vocabulary(counts, df.count(), size).select("term", "idf")
-    if size is not None and size <= SHIPPED_TERMS:
-        terms = F.broadcast(terms)
-    weighted = counts.join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    # One text's terms: bounded by the text itself.
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
+    terms = checkpoint(vocabulary(term_counts(df, key, column), df.count(), size).select("term", "idf"))
+    if not _shippable(terms):
+        weighted = term_counts(df, key, column).join(terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        # One text's terms: bounded by the text itself.
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
+    rows = terms.orderBy("term").collect()
+    known = df.sparkSession.sparkContext.broadcast((pa.array([r["term"] for r in rows], pa.string()), np.array([r["idf"] for r in rows], float)))
+    schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = known.value
+        for batch in batches:
+            lists, tfs = batch.column(1), batch.column(2).flatten().to_numpy()
+            flat, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            code = pc.index_in(flat, value_set=names)
+            keep = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+            w = tfs[keep] * idf[code.take(pa.array(keep)).to_numpy()]
+            length = np.sqrt(np.bincount(owner[keep], w * w, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), flat.take(pa.array(keep)), pa.array(w / length[owner[keep]])], names=schema.names)
+
+    return row_term_counts(df, key, column).mapInArrow(weigh, schema)
 
 
 class TfidfVectorizer(Estimator):
     """The same weights as sparse vectors ``{column}_tfidf`` for use in a model.
 
     A limited vocabulary is chosen by frequency with alphabetical ties, so it does not
-    depend on partitioning. Without a limit all terms are taken (at most 2^18, the
-    longest vector made).
+    depend on partitioning. Without a limit all terms are taken. A vocabulary that not every
+    task can hold raises; ``tfidf_terms`` has no such bound.
     """
 
     def __init__(self, column: str, size: int | None = None):
@@ -87,18 +121,14 @@ class TfidfVectorizer(Estimator):
 
     def _fit(self, df: DataFrame) -> TfidfModel:
         source, count = f"__{self.column}_terms", f"__{self.column}_tf"
-        if self.size is None:
-            tokens = df.select(_term_column(self.column).alias(source))
-            counter = CountVectorizer(inputCol=source, outputCol=count, vocabSize=VOCABULARY_LIMIT).fit(tokens)
-            idf = IDF(inputCol=count).fit(counter.transform(tokens)).idf.toArray() + 1.0
-        else:
-            numbered = df.select(F.monotonically_increasing_id().alias("__row"), self.column)
-            counts = term_counts(numbered, "__row", self.column)
-            rows = vocabulary(counts, df.count(), min(self.size, VOCABULARY_LIMIT)).orderBy("term").collect()
-            if not rows:
-                raise ValueError(f"column {self.column!r} holds no term")
-            counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=source, outputCol=count)
-            idf = np.array([r["idf"] for r in rows])
+        terms = checkpoint(vocabulary(term_counts(df, [], self.column), df.count(), self.size).select("term", "idf"))
+        if not _shippable(terms):
+            raise ValueError(f"the vocabulary of {self.column!r} is too large for vectors; limit it, or use tfidf_terms")
+        rows = terms.orderBy("term").collect()
+        if not rows:
+            raise ValueError(f"column {self.column!r} holds no term")
+        counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=source, outputCol=count)
+        idf = np.array([r["idf"] for r in rows])
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=count, outputCol=f"__{self.column}_w")
         unit = Normalizer(p=2.0, inputCol=f"__{self.column}_w", outputCol=f"{self.column}_tfidf")
         return TfidfModel(self.column, PipelineModel([counter, weigh, unit]))

@@ -69,8 +69,8 @@ def twitch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def npr(spark: SparkSession, root: str) -> DataFrame:
-    episodes = read_csv(spark, f"{root}/NPR/episodes.csv").withColumnsRenamed({"id": "episode", "episode_date": "date"})
-    return merge(episodes, read_csv(spark, f"{root}/NPR/utterances.csv"), "episode")
+    episodes = read_csv(spark, f"{root}/NPR/episodes.csv", multiline=True).withColumnsRenamed({"id": "episode", "episode_date": "date"})
+    return merge(episodes, read_csv(spark, f"{root}/NPR/utterances.csv", multiline=True), "episode")
 
 
 def this_american_life(spark: SparkSession, root: str) -> DataFrame:
@@ -79,8 +79,8 @@ def this_american_life(spark: SparkSession, root: str) -> DataFrame:
 
 
 def food_reviews(spark: SparkSession, root: str) -> DataFrame:
-    recipes = read_csv(spark, f"{root}/Recipes/RAW_recipes.csv").withColumnRenamed("id", "recipe_id")
-    return merge(read_csv(spark, f"{root}/Recipes/RAW_interactions.csv"), recipes, "recipe_id")
+    recipes = read_csv(spark, f"{root}/Recipes/RAW_recipes.csv", multiline=True).withColumnRenamed("id", "recipe_id")
+    return merge(read_csv(spark, f"{root}/Recipes/RAW_interactions.csv", multiline=True), recipes, "recipe_id")
 
 
 def paired_recipes(spark: SparkSession, root: str) -> DataFrame:
@@ -181,13 +181,13 @@ def behance(spark: SparkSession, root: str, dim: int = 4096) -> DataFrame:
     likes = read_delimited(spark, f"{folder}/Behance_appreciate_1M", "user_id bigint, item_id bigint, unix_timestamp bigint")
     owners = read_delimited(spark, f"{folder}/Behance_Item_to_Owners", "item_id bigint, owner_id bigint")
     images = read_fixed_binary(spark, f"{folder}/Behance_Image_Features.b", dim)
-    return merge(merge(likes, collect_lists(owners, "item_id", "owner_id").drop("part"), "item_id", "left"), images, "item_id", "left")
+    return merge(merge(likes, collect_lists(owners, "item_id", "owner_id"), "item_id", "left"), images, "item_id", "left")
 
 
 def librarything(spark: SparkSession, root: str) -> DataFrame:
     reviews = read_jsonl(spark, f"{root}/Librarything/reviews.json").select(*LIBRARY_COLUMNS)
     edges = read_delimited(spark, f"{root}/Librarything/edges.txt", "user1 string, user2 string")
-    return merge(reviews, undirected_adjacency(edges, "user1", "user2").drop("part"), "user", "left")
+    return merge(reviews, undirected_adjacency(edges, "user1", "user2"), "user", "left")
 
 
 def beer_reviews(spark: SparkSession, root: str) -> DataFrame:
@@ -198,7 +198,7 @@ def beer_reviews(spark: SparkSession, root: str) -> DataFrame:
 
 
 def reddit(spark: SparkSession, root: str) -> DataFrame:
-    return read_csv_skip_bad(spark, f"{root}/Reddit Submissions/submissions.csv")
+    return read_csv_skip_bad(spark, f"{root}/Reddit Submissions/submissions.csv", multiline=True)
 
 
 # Numbered from 1 in this order.

@@ -31,6 +31,17 @@ def one_hot_nulls(t):
     return encode.one_hot(customer_nulls(t).select("c_custkey", "c_mktsegment"), ["c_mktsegment"]).drop("c_mktsegment")
 
 
+@query("one_hot_vector", """SELECT p_partkey, (SELECT count(DISTINCT p_name) FROM part) AS width, 1::BIGINT AS ones, dense_rank() OVER (ORDER BY p_name) - 1 AS hot FROM part""")
+def one_hot_vector(t):
+    df = t.part.select("p_partkey", "p_name")
+    return encode.IndicatorVector("p_name").fit(df).transform(df).select("p_partkey", _vector_parts("p_name_vector").alias("v")).select("p_partkey", "v.*")
+
+
+@F.udf("struct<width:bigint, ones:bigint, hot:bigint>")
+def _vector_parts(vector):
+    return int(vector.size), int(vector.values.sum()), int(vector.indices[0])
+
+
 @query("label_encode", "SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand_label, dense_rank() OVER (ORDER BY p_name) - 1 AS p_name_label FROM part")
 def label_encode(t):
     return encode.label_encode(t.part.select("p_partkey", "p_brand", "p_name"), ["p_brand", "p_name"]).drop("p_brand", "p_name")

@@ -100,6 +100,28 @@ def tfidf_vectors(t):
     return model.transform(documents).select("doc_id", filled.alias("terms"), F.round(total, 8).alias("total"))
 
 
+@query(
+    "tfidf_vectors_all",
+    f"""WITH {VOCABULARY}, w AS (SELECT doc_id, tf * idf AS w FROM c JOIN v USING (term)),
+             s AS (SELECT doc_id, sum(w) / sqrt(sum(w * w)) AS total FROM w GROUP BY doc_id)
+        SELECT doc_id, (SELECT count(*) FROM v) AS width, round(coalesce(total, 0), 8) AS total FROM documents LEFT JOIN s USING (doc_id)""",
+)
+def tfidf_vectors_all(t):
+    documents = t.dealt("documents").select("doc_id", "text")
+    weighed = text.TfidfVectorizer("text").fit(documents).transform(documents)
+    return weighed.select("doc_id", *_width_and_sum("text_tfidf"))
+
+
+@F.udf("struct<width:bigint, total:double>")
+def _measured(vector):
+    return int(vector.size), float(vector.values.sum())
+
+
+def _width_and_sum(column):
+    measured = _measured(column)
+    return measured["width"].alias("width"), F.round(measured["total"], 8).alias("total")
+
+
 @query("text_tfidf_hash")
 def text_tfidf_hash(t):
     df, features = text.text_tfidf_hash(t.dealt("documents").select("doc_id", "text", "source"), ["text", "source"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -45,17 +47,26 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.Stru
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a laptop, the tests) is a temporary folder
-    made for this session.
+    On a local master that names none (a laptop, the tests) a temporary folder is made for
+    this session and removed when Python ends. On a cluster every executor would write to a
+    disk of its own, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     active = spark.sparkContext.getCheckpointDir()
     if active is None:
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablewright-"))
+        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or _temporary())
         active = spark.sparkContext.getCheckpointDir()
     return folder or active
 
 
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="tablewright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files (survives lost executors)."""
     shared_dir(df.sparkSession)

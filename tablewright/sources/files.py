@@ -81,12 +81,11 @@ def infer_text_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:
     """CSV with a header line. Without a schema the types are inferred from all cells.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file; turn
-    it off for large files known to have none.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
     """
     reader = _csv(spark, sep, True, multiline)
     if schema is not None:
@@ -113,7 +112,7 @@ def _field_count(line: Column, sep: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
-def read_csv_skip_bad(spark: SparkSession, path: str, sep: str = ",", multiline: bool = True) -> DataFrame:
+def read_csv_skip_bad(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
     """CSV with a header that leaves out lines with too many fields; short lines end in nulls."""
     names = _csv(spark, sep, True, multiline).option("inferSchema", False).csv(path).columns
     # One column more than the header has: it is filled only on lines that are too long.
@@ -132,22 +131,32 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return nan_to_null(reader.json(path if isinstance(path, str) else list(path)))
 
 
-def read_json_records(spark: SparkSession, path: str | Sequence[str], record: str, key: str | None = None) -> DataFrame:
+def _mode(on_error: str) -> dict[str, str]:
+    if on_error not in ("raise", "null"):
+        raise ValueError(f"on_error {on_error!r} is neither raise nor null")
+    return {"mode": "FAILFAST" if on_error == "raise" else "PERMISSIVE"}
+
+
+def read_json_records(spark: SparkSession, path: str | Sequence[str], record: str, key: str | None = None, on_error: str = "raise") -> DataFrame:
     """Files that each hold one object ``{key: [record, ...]}``: one row per record.
 
     ``record`` is the DDL of the wanted fields; a field a record lacks is null. A file is
-    one JSON value and cannot be split, so each is read by one task (up to 2 GB).
+    one JSON value and cannot be split, so each is read by one task (up to 2 GB). A malformed
+    file or a value of another type raises; with ``on_error="null"`` they are null.
     """
     whole = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
-    entries = whole.select(F.explode(F.from_json("value", f"map<string, array<struct<{_fields(record)}>>>")))
+    entries = whole.select(F.explode(F.from_json("value", f"map<string, array<struct<{_fields(record)}>>>", _mode(on_error))))
     parent = [F.col("key").alias(key)] if key else []
     return nan_to_null(entries.select(*parent, F.inline("value")))
 
 
-def read_json_pairs(spark: SparkSession, path: str | Sequence[str], key: str, value: str, kind: str = "string") -> DataFrame:
-    """Files that each hold one object ``{key: value}``: one row per entry (one task per file)."""
+def read_json_pairs(spark: SparkSession, path: str | Sequence[str], key: str, value: str, kind: str = "string", on_error: str = "raise") -> DataFrame:
+    """Files that each hold one object ``{key: value}``: one row per entry (one task per file).
+
+    Malformed files and values of another type raise, or are null with ``on_error="null"``.
+    """
     whole = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
-    return whole.select(F.explode(F.from_json("value", f"map<string, {kind}>")).alias(key, value))
+    return whole.select(F.explode(F.from_json("value", f"map<string, {kind}>", _mode(on_error))).alias(key, value))
 
 
 def _fields(ddl: str) -> str:
@@ -164,12 +173,13 @@ def _literal_to_json(lines: pd.Series) -> pd.Series:
     return lines.map(lambda line: json.dumps(ast.literal_eval(line.strip()), default=_jsonable))
 
 
-def read_pyliteral_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, partitions: int | None = None) -> DataFrame:
+def read_pyliteral_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, partitions: int | None = None, on_error: str = "raise") -> DataFrame:
     """Lines that are Python dict literals (``True``, ``None``, ``u''``), plain or gzipped.
 
     A small Arrow function turns each line into JSON; Spark does the rest. Without a schema
     the JSON is written once to the scratch folder and read back with inferred types.
     ``partitions`` spreads the lines of an unsplittable (gzip) file before the work starts.
+    A value that does not fit the schema raises; with ``on_error="null"`` it is null.
     """
     lines = spark.read.text(path if isinstance(path, str) else list(path))
     if partitions:
@@ -177,10 +187,10 @@ def read_pyliteral_lines(spark: SparkSession, path: str | Sequence[str], schema:
     texts = lines.filter(F.trim("value") != "").select(_literal_to_json("value").alias("value"))
     if schema is not None:
         ddl = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        return nan_to_null(texts.select(F.from_json("value", ddl).alias("r")).select("r.*"))
+        return nan_to_null(texts.select(F.from_json("value", ddl, _mode(on_error)).alias("r")).select("r.*"))
     folder = scratch_path(spark, "literals")
     texts.write.text(folder)
-    return nan_to_null(spark.read.json(folder))
+    return nan_to_null(spark.read.option("mode", "FAILFAST").json(folder))
 
 
 def read_gzip(spark: SparkSession, path: str, schema: T.StructType | str | None = None, partitions: int | None = None) -> DataFrame:

@@ -165,3 +165,51 @@ def test_text_features_skip_what_fails(spark):
     assert text.extract_text_features(df.limit(3), ["a"], k=5, size=16, on_error="skip").columns == ["id", "a", "b"]
     with pytest.raises(ValueError):
         text.extract_text_features(df.limit(3), ["a"], k=5, size=16)
+
+
+def test_no_term_is_lost_from_a_large_vocabulary(spark):
+    df = spark.range(300).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 1000 + i).cast("string"))), " ").alias("t"))
+    model = text.TfidfVectorizer("t").fit(df)
+    assert len(model.stages.stages[0].vocabulary) == 300_000 > 1 << 18
+    width = F.udf(lambda v: int(v.size) * 1000 + int((v.values > 0).sum()) % 1000, "bigint")
+    assert {r[0] for r in model.transform(df.limit(3)).select(width("t_tfidf")).collect()} == {300_000_000}
+
+
+def test_weights_agree_whether_the_vocabulary_is_shipped_or_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "aa bb bb cc"), (2, "bb dd"), (3, ""), (4, None), (5, "ee ee ee")], "id long, t string")
+    weigh = lambda size: {(r.id, r.term): round(r.weight, 12) for r in text.tfidf_terms(df, "id", "t", size).collect()}
+    shipped = weigh(None), weigh(2)
+    plan = text.tfidf_terms(df, "id", "t")._jdf.queryExecution().toString()
+    monkeypatch.setattr(text, "SHIPPED_TERMS", 0)
+    assert (weigh(None), weigh(2)) == shipped
+    assert "Exchange" not in plan
+    with pytest.raises(ValueError, match="too large"):
+        text.TfidfVectorizer("t").fit(df)
+
+
+def test_term_counts_in_the_row(spark):
+    df = spark.createDataFrame([(1, "bb aa bb"), (2, ""), (3, None), (4, "zz")], "id long, t string")
+    got = {r.id: (r.terms, r.tfs) for r in text.row_term_counts(df, "id", "t").collect()}
+    assert got == {1: (["aa", "bb"], [1, 2]), 2: ([], []), 3: ([], []), 4: (["zz"], [1])}
+
+
+@pytest.mark.parametrize("limit", [100_000, 3])
+def test_indicators_as_one_vector(spark, limit):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("d",), ("c",), ("b",)], "c string")
+    model = encode.IndicatorVector("c", limit).fit(df)
+    other = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("zz",), (None,)], "c string")
+    got = {r["c"]: r["v"] for r in model.transform(other).select("c", vector_to_array("c_vector").alias("v")).collect()}
+    unit = lambda k: [float(k == i) for i in range(4)]
+    assert got == {"a": unit(0), "b": unit(1), "c": unit(2), "d": unit(3), "zz": unit(9), None: unit(9)}
+
+
+def test_indicators_of_very_many_values(spark):
+    df = spark.range(150_000).select(F.format_string("v%06d", "id").alias("c"))
+    model = encode.IndicatorVector("c").fit(df)
+    assert model.width == 150_000 and model.codes.tables
+    place = F.udf(lambda v: int(v.indices[0]) if v.values.sum() == 1 and v.size == 150_000 else -1, "bigint")
+    some = df.filter(F.col("c").isin("v000000", "v077777", "v149999"))
+    assert {r.c: r.p for r in model.transform(some).select("c", place("c_vector").alias("p")).collect()} == {"v000000": 0, "v077777": 77_777, "v149999": 149_999}
+    with pytest.raises(ValueError, match="IndicatorVector"):
+        encode.one_hot(df, ["c"])
+    assert encode.one_hot(df.limit(3), ["c"]).columns[0] == "c"

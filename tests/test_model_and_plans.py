@@ -55,10 +55,29 @@ def test_fit_and_score_learns(table):
 
 def test_baseline_learns(table):
     train, test = model.train_test_split(table.withColumn("t", F.concat(F.col("c"), F.lit(" "), F.col("y"), F.lit("ish"))), "id")
-    score = model.rf_baseline(train, test, "id", ROLES.replace(short_text=("t",)), "y", trees=5, depth=4, folds=3)
+    score = model.rf_pipeline(train, test, "id", ROLES.replace(short_text=("t",)), "y", trees=5, depth=4, folds=3)
     assert score.test_accuracy > 0.95
 
 
+def test_terms_of_the_other_folds_have_no_part_in_a_fit(spark, monkeypatch):
+    seen = []
+    fit = model.TfidfVectorizer._fit
+
+    def spied(self, df):
+        out = fit(self, df)
+        seen.append(set(out.stages.stages[0].vocabulary))
+        return out
+
+    monkeypatch.setattr(model.TfidfVectorizer, "_fit", spied)
+    df = spark.createDataFrame([(i, f"word{i} {'good' if i % 2 else 'bad'}", "ab"[i % 2]) for i in range(60)], "id long, t string, y string")
+    train, test = df.filter("id < 50"), df.filter("id >= 50")
+    model.rf_pipeline(train, test, "id", ColumnRoles(short_text=("t",), target="y"), "y", trees=3, depth=3, folds=5)
+    # Five fits on four fifths of the train rows, one on all of them; never the test rows.
+    own = [len([w for w in words if w.startswith("word")]) for words in seen]
+    assert sorted(own) == [40] * 5 + [50]
+    assert all(int(w[4:]) < 50 for words in seen for w in words if w.startswith("word"))
+
+
 def test_experiment_scores_every_variant_on_the_same_rows(table):
     variants = experiment.variant_matrix(ROLES, ratio=0.1, trees=5, depth=3)
     assert [v.name for v in variants] == [

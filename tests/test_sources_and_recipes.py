@@ -25,7 +25,7 @@ def put_literals(path, records):
 
 def test_csv_types_missing_values_and_quotes(spark, tmp_path):
     path = put(tmp_path / "a.csv", 'n,x,b,s,m\n1,1.5,True,"a ""q"",\nline",NA\n,NaN,,null,\n3,1e3,False,N/A,\n')
-    df = files.read_csv(spark, path)
+    df = files.read_csv(spark, path, multiline=True)
     assert df.dtypes == [("n", "bigint"), ("x", "double"), ("b", "boolean"), ("s", "string"), ("m", "string")]
     assert [tuple(r) for r in df.collect()] == [(1, 1.5, True, 'a "q",\nline', None), (None,) * 5, (3, 1000.0, False, None, None)]
 
@@ -194,3 +194,31 @@ def test_other_shapes(spark, root):
     assert rows(behance(spark, root, dim=4), "user_id", "owner_id", "image_features") == sorted(
         [(1, [7, 8], [1.0, 2.0, 3.0, 4.0]), (2, [7, 8], [1.0, 2.0, 3.0, 4.0]), (3, None, [0.0, 0.0, 0.0, 1.0])], key=repr
     )
+
+
+@pytest.mark.parametrize("name, content", [("malformed", '{"a": [{"n": 1}], "b": [{"n": '), ("type", '{"a": [{"n": 1}, {"n": "x"}]}'), ("long", '{"a": [{"n": 123456789012345678901234567890}]}')])
+def test_json_maps_fail_rather_than_lose_rows(spark, tmp_path, name, content):
+    put(tmp_path / "good.json", '{"g": [{"n": 5}]}')
+    put(tmp_path / "bad.json", content)
+    read = lambda **options: files.read_json_records(spark, str(tmp_path), "n bigint", "k", **options).collect()
+    with pytest.raises(Exception, match="MALFORMED|malformed|cannot|Cannot|parse"):
+        read()
+    assert (("g", 5) in {tuple(r) for r in read(on_error="null")}) and pytest.raises(ValueError, read, on_error="maybe")
+
+
+def test_json_pairs_and_literals_fail_rather_than_turn_null(spark, tmp_path):
+    put(tmp_path / "pairs.json", '{"a": 1, "b": "x"}')
+    with pytest.raises(Exception, match="MALFORMED|malformed|cannot|Cannot|parse"):
+        files.read_json_pairs(spark, str(tmp_path / "pairs.json"), "k", "v", "bigint").collect()
+    for k, line in enumerate(["{'n': 'bad'}", "{'n': 123456789012345678901234567890}"]):
+        put(tmp_path / f"lines{k}.json", "{'n': 1}\n" + line + "\n")
+        path = str(tmp_path / f"lines{k}.json")
+        with pytest.raises(Exception, match="MALFORMED|malformed|cannot|Cannot|parse"):
+            files.read_pyliteral_lines(spark, path, "n bigint").collect()
+        assert rows(files.read_pyliteral_lines(spark, path, "n bigint", on_error="null")) == [(1,), (None,)]
+
+
+def test_csv_is_split_unless_lines_may_break(spark, tmp_path):
+    put(tmp_path / "t.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert rows(files.read_csv(spark, str(tmp_path / "t.csv"), multiline=True)) == [(1, "x\ny"), (2, "z")]
+    assert files.read_csv(spark, str(tmp_path / "t.csv")).count() == 3
