@@ -70,10 +70,13 @@ def test_hot_anchors_are_dealt_over_parts(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_texts_are_shuffled_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(S, "POSITIONS", 0)
-    rows = corpus(3, 40)
-    assert run(spark, rows) == brute(rows)
+def test_records_in_small_batches_and_partitions(spark):
+    rows = corpus(3, 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_periodic_long_empty_and_null_texts(spark):
