@@ -33,8 +33,8 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 #: A feature's value is its share of the words up to MOST, times SCALE.
 MOST, SCALE = 0.02, 50.0
-#: Steps, their size, and the pull of weights towards 0.
-STEPS, RATE, PULL = 200, 0.1, 2e-4
+#: Steps, the size of the first (it falls to 0), and the pull of weights towards 0.
+STEPS, RATE, PULL = 300, 0.05, 1e-3
 #: A feature is used if at least this share of the toxic texts (and 5 of them) have it.
 SHARE = 0.03
 
@@ -70,12 +70,12 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(owner, self.weights[index] * value, len(texts)), -50, 50)))
 
 
-def _matrix(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matrix(texts: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``features`` of a sample of texts."""
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
     for first, part in blocks(texts):
         index, owner, value = features(part, used)
-        parts.append((index, owner + first, value))
+        parts.append((index.astype(np.int32), (owner + first).astype(np.int32), value.astype(np.float32)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -85,11 +85,9 @@ def train(toxic: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEP
     n, m = len(toxic), len(unlabelled)
     if n == 0 or m == 0:
         return Classifier(weights, -50.0)
-    index, row, value = _matrix(toxic)
-    used = np.bincount(index, minlength=1 << BITS) >= max(min(5, n), SHARE * n)
-    keep = used[index]
-    more = _matrix(unlabelled, used)
-    index, row, value = (np.concatenate([x[keep], y]) for x, y in zip((index, row, value), (more[0], more[1] + n, more[2]), strict=True))
+    holding = sum(np.bincount(features(part)[0], minlength=1 << BITS) for _, part in blocks(toxic))
+    used = holding >= max(min(5, n), SHARE * n)
+    index, row, value = _matrix(pa.concat_arrays([toxic, unlabelled]), used)
     used, index = np.unique(index, return_inverse=True)
     w = np.append(np.zeros(used.size), np.log(prior / (1 - prior)))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -105,7 +103,7 @@ def train(toxic: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEP
             pull[:n], pull[n:] = prior * p[:n] / n, -p[n:] / m
         gradient = np.append(np.bincount(index, pull[row] * value, used.size) + PULL * w[:-1], pull.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-        w -= RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)
+        w -= RATE * (1 - k / (steps + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)
     # Shift the scores so that their mean over the unlabelled texts is the prior.
     z = w[-1] + np.bincount(row, w[index] * value, n + m)[n:]
     low, high = -30.0, 30.0
