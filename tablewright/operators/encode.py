@@ -184,26 +184,47 @@ class OrdinalEncoder(CategoricalEncoder):
         super().__init__(columns, one_hot_limit=0, label_suffix="_ordinal")
 
 
-def encode_categorical_ml(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def frequency_codes(df: DataFrame, column: str) -> DataFrame:
+    """``value, code``: non-null values numbered from 0, the most frequent first, ties in order."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg((-F.count(F.lit(1))).alias("n"))
+    codes = dense_codes(counts.select(F.struct("n", "value").alias("place")), "place")
+    return codes.select(F.col("value.value").alias("value"), "code")
+
+
+def encode_categorical_ml(df: DataFrame, columns: Sequence[str], limit: int = DICTIONARY_LIMIT) -> tuple[DataFrame, list[str]]:
     """Frequency-ordered indices ``{column}_index``, as vectors ``{column}_ohe`` for few values.
 
-    Returns the table and the names of the features to use. One sketch-free aggregate
-    sizes all columns and one indexer is fitted for all.
+    Returns the table and the names of the features to use. One aggregate sizes all columns;
+    one indexer is fitted for those with at most ``limit`` values, the others are numbered by a
+    distributed sort and joined. A null gets the number after the last.
     """
     columns = list(columns)
     sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
     near = [c for c in columns if sizes[c] <= 4 * ONE_HOT_LIMIT]
     exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first().asDict() if near else {}
-    few = [c for c in near if exact[c] <= ONE_HOT_LIMIT]
-    stages: list = [StringIndexer(inputCols=columns, outputCols=[f"{c}_index" for c in columns], handleInvalid="keep")]
+    held = [c for c in columns if sizes[c] <= limit]
+    few = [c for c in near if exact[c] <= ONE_HOT_LIMIT and c in held]
+    stages: list = [StringIndexer(inputCols=held, outputCols=[f"{c}_index" for c in held], handleInvalid="keep")] if held else []
     if few:
         stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in few], outputCols=[f"{c}_ohe" for c in few]))
-    out = Pipeline(stages=stages).fit(df).transform(df)
+    out = Pipeline(stages=stages).fit(df).transform(df) if stages else df
+    for c in columns:
+        if c not in held:
+            codes = frequency_codes(df, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
+            last = codes.count()
+            out = out.join(codes, F.col(c) == F.col("__value"), "left").withColumn(f"{c}_index", F.coalesce("__code", F.lit(float(last)))).drop("__value", "__code")
     return out, [f"{c}_ohe" if c in few else f"{c}_index" for c in columns]
 
 
-def label_index(df: DataFrame, column: str, output: str) -> tuple[DataFrame, list[str]]:
-    """Consecutive class numbers in alphabetical order, and the class names."""
+def label_index(df: DataFrame, column: str, output: str, limit: int = DICTIONARY_LIMIT) -> tuple[DataFrame, list[str]]:
+    """Consecutive class numbers in alphabetical order, and the class names.
+
+    The names are a list for the caller, so more than ``limit`` classes raise; number such a
+    column with ``label_encode``.
+    """
+    size = df.agg(F.approx_count_distinct(column, 0.02)).first()[0]
+    if size > limit:
+        raise ValueError(f"{column!r} has about {size} classes; at most {limit} can be named")
     model = StringIndexer(inputCol=column, outputCol=output, stringOrderType="alphabetAsc").fit(df)
     return model.transform(df), list(model.labels)
 

@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.hashing import HASH_BITS, hash52
@@ -26,6 +26,7 @@ BASELINE_TREES, BASELINE_DEPTH = 50, 10
 FOLDS = 5
 TEST_SHARE = 0.2
 SPLIT_SEED = 1234
+FOLD_BITS = 12  # slices of the hash range that spread a class: 4096
 DEEPEST = 30  # the deepest tree Spark grows; the forests it stands for have no limit
 
 
@@ -44,23 +45,22 @@ def train_test_split(df: DataFrame, key, test_size: float = TEST_SHARE, seed: in
 def stratified_fold(df: DataFrame, key, label: str, folds: int = FOLDS, seed: int = SPLIT_SEED) -> DataFrame:
     """Adds ``fold``: every class is cut into ``folds`` parts whose sizes differ by one at most.
 
-    The cuts are hash cutoffs per class from shared counting passes, so a class that
-    holds most rows is never gathered in one task.
+    A row's place in its class is its place in a slice of the hash range plus the rows of the
+    class in earlier slices, so any number of classes costs one shuffle, and a class that holds
+    most rows is spread over all of its slices. Rows without a class are in fold 0.
     """
-    classes = sorted(row[0] for row in df.select(label).distinct().collect() if row[0] is not None)
-    draws = [
-        Draw(f"{c}:{i}", lambda _, size, i=i: size * i // folds, F.col(label) == F.lit(v), salt="fold")
-        for c, v in enumerate(classes)
-        for i in range(1, folds)
-    ]
-    before = exact_draws(df, key, draws, seed)
+    keys = [key] if isinstance(key, str) else list(key)
+    sliced = df.withColumn("__h", hash52(keys, "fold", seed)).withColumn("__slice", F.shiftright("__h", HASH_BITS - FOLD_BITS))
+    counts = sliced.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__class"), F.col("__slice").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    of_class = Window.partitionBy("__class")
+    earlier = F.sum("__n").over(of_class.orderBy("__of").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    slices = counts.select("__class", "__of", earlier.alias("__before"), F.sum("__n").over(of_class).alias("__size"))
+    placed = sliced.join(slices, (F.col(label) == F.col("__class")) & (F.col("__slice") == F.col("__of")), "left")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__slice").orderBy("__h", *keys))
     fold = F.lit(0)
-    for c, v in enumerate(classes):
-        later = F.lit(0)
-        for i in range(1, folds):
-            later = later + F.when(before[f"{c}:{i}"], 0).otherwise(1)
-        fold = F.when(F.col(label) == F.lit(v), later).otherwise(fold)
-    return df.withColumn("fold", fold.cast("int"))
+    for i in range(1, folds):
+        fold = fold + F.when(F.col("__place") > F.floor(F.col("__size") * i / folds), 1).otherwise(0)
+    return placed.withColumn("__place", place).withColumn("fold", fold.cast("int")).select(*df.columns, "fold")
 
 
 def accuracy(df: DataFrame, prediction: str | Column, label: str | Column) -> DataFrame:

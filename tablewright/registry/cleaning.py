@@ -86,7 +86,7 @@ def impute_missing_(t):
     df = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "c_name")
     before = introduce_nulls(df, "c_custkey", ["c_acctbal", "c_mktsegment", "c_name"], 0.02, 19)
     roles = ColumnRoles(numerical=("c_acctbal", "c_nationkey"), categorical=("c_mktsegment",), short_text=("c_name",))
-    after = impute_missing(before, "c_custkey", roles, trees=20, depth=5, seed=1)
+    after = impute_missing(before, "c_custkey", roles, seed=1)
     marks = before.select("c_custkey", F.col("c_acctbal").isNull().alias("filled_acctbal"), F.col("c_mktsegment").isNull().alias("filled_mktsegment"))
     both = after.join(marks, "c_custkey")
     left = F.col("c_acctbal").isNull().cast("bigint") + F.col("c_mktsegment").isNull().cast("bigint")

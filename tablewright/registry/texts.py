@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -128,10 +129,30 @@ def text_tfidf_hash(t):
     return df.select("doc_id", *[vector_to_array(f).alias(f) for f in features])
 
 
-@query("text_embedding")
+@query(
+    "text_embedding",
+    f"""WITH k AS (SELECT doc_id, len({KEPT}) AS n FROM documents)
+        SELECT doc_id, 384::INTEGER AS width, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM k""",
+)
 def text_embedding(t):
+    """The hashed stand-in: its width, and length 1 wherever there is a word."""
     df = text.embed_text(t.dealt("documents").select("doc_id", "text"), "text")
-    return df.select("doc_id", F.size("text_embedding").alias("width"), "text_embedding")
+    squares = F.aggregate("text_embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return df.select("doc_id", F.size("text_embedding").alias("width"), F.round(F.sqrt(squares), 4).alias("length"))
+
+
+@query(
+    "text_embedding_model",
+    """SELECT doc_id, length(text)::DOUBLE AS chars, len(string_split(text, chr(10)))::DOUBLE AS lines FROM documents""",
+)
+def text_embedding_model(t):
+    """The Arrow path of a sentence model, with a small encoder whose answers are known."""
+
+    def load():
+        return lambda texts: np.array([[len(x), x.count("\n") + 1] for x in texts], float).reshape(len(texts), 2)
+
+    df = text.embed_text(t.dealt("documents").select("doc_id", "text"), "text", text.model_embedder(load))
+    return df.select("doc_id", *[F.get("text_embedding", i).cast("double").alias(c) for i, c in enumerate(("chars", "lines"))])
 
 
 @query(

@@ -213,3 +213,11 @@ def test_indicators_of_very_many_values(spark):
     with pytest.raises(ValueError, match="IndicatorVector"):
         encode.one_hot(df, ["c"])
     assert encode.one_hot(df.limit(3), ["c"]).columns[0] == "c"
+
+
+def test_frequency_indices_of_many_values_agree_with_the_indexer(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("c",), (None,), ("d",)], "c string")
+    shipped, joined = (encode.encode_categorical_ml(df, ["c"], limit) for limit in (100, 2))
+    assert sorted((r.c or "", r.c_index) for r in joined[0].collect()) == sorted((r.c or "", r.c_index) for r in shipped[0].collect())
+    with pytest.raises(ValueError, match="classes"):
+        encode.label_index(df, "c", "label", limit=2)
