@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.session import configure, shared_dir
+from tablewright.session import configure, scratch_path, shared_dir
 
 BLOCK = 1 << 19
 #: Rows of an Arrow batch; with long texts the default of 10,000 rows fills a worker's memory.
@@ -44,6 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same as ``stored``, as Parquet: smaller where columns repeat or are null."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; looks at no more than ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows

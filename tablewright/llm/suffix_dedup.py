@@ -9,8 +9,8 @@ windows need only be compared where anchors are equal. Consecutive windows with
 one record: about one per 35 bytes instead of one per byte.
 
 **Records.** Records are dealt by range of (anchor, row) and sorted; what has no equal anchor goes
-no further. Records whose whole context is equal are copies: all but the first are removed by an
-aggregation that combines on the map side and a join, both safe for hot strings.
+no further. Records whose whole context is equal are copies: all but the first lose their windows,
+most of them while the sorted records stream by, the rest by an aggregation and a join.
 
 **Suffixes.** The contexts that are left differ although their anchors are equal. Their suffixes
 from the anchor on are sorted with longest common prefixes, and a stack scan yields the tree of
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import SALT, blocks, mixed, raw, span_hashes, stored, strings
+from tablewright.llm.common import SALT, blocks, mixed, raw, span_hashes, strings, written
 from tablewright.operators.ranking import dense_codes
 
 LENGTH, SEED = 100, 32
@@ -46,9 +46,6 @@ PART = 100_000
 TOGETHER = 20_000
 #: Bytes of a text that are anchored together; longer texts are taken in overlapping pieces.
 PIECE = 1 << 22
-#: Most context positions, and most rows with spans, that are sent to all executors instead of
-#: shuffling the texts (24 bytes each; spans are counted as rows of their own).
-POSITIONS = 500_000
 _MIX = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -135,39 +132,51 @@ def all_records(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "text").mapInArrow(run, RECORD)
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """Records whose anchor occurs more than once (and a few at the edges of partitions)."""
+def sifted(found: DataFrame) -> DataFrame:
+    """Records that matter: copies, and the first of each context of anchors with several.
+
+    Records are dealt by range of (anchor, row), so a hot anchor spreads over tasks, and sorted.
+    Where a context was already met in a row or place before, the record is a copy and keeps no
+    anchor. An anchor with one context only has no other work, unless it may go on in the next
+    partition. A partition's run of one anchor is the most that is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last run of equal anchors is held back until it is known whether it goes on.
         held: list[pa.RecordBatch] = []
-        edge = True
+        now, first = None, True
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             anchor = batch.column(0).to_numpy()
-            if held and held[-1].column(0)[0].as_py() != anchor[0]:
-                if edge or len(held) > 1 or held[0].num_rows > 1:
-                    yield from held
-                held, edge = [], False
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut:
-                same = np.zeros(cut, bool)
-                same[1:] = anchor[1:cut] == anchor[: cut - 1]
-                same[:-1] |= same[1:].copy()
-                if held:
-                    same[anchor[:cut] == anchor[0]] = True
-                    yield from held
-                    held = []
-                elif edge:
-                    same[anchor[:cut] == anchor[0]] = True
-                edge = False
-                if same.any():
-                    yield batch.slice(0, cut).filter(pa.array(same))
-            held.append(batch.slice(cut))
-        yield from held
-
-    return found.repartitionByRange("anchor", "doc", "pack").sortWithinPartitions("anchor").mapInArrow(run, RECORD)
+            if now is not None and anchor[-1] != now:
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                yield sift([*held, batch.slice(0, cut)], first, False)
+                held, first, batch = [], False, batch.slice(cut)
+            elif now is None and anchor[0] != anchor[-1]:
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                yield sift([batch.slice(0, cut)], True, False)
+                first, batch = False, batch.slice(cut)
+            now = anchor[-1]
+            held.append(batch)
+        if held:
+            yield sift(held, first, True)
+
+    def sift(parts: list[pa.RecordBatch], first: bool, last: bool) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        anchor, context, doc, packed = (c.to_numpy() for c in rows.columns)
+        new_anchor, head = np.ones(anchor.size, bool), np.ones(anchor.size, bool)
+        new_anchor[1:] = anchor[1:] != anchor[:-1]
+        head[1:] = new_anchor[1:] | (context[1:] != context[:-1])
+        number = np.cumsum(new_anchor) - 1
+        several = np.bincount(number, head) > 1
+        several[0] |= first
+        several[-1] |= last
+        keep = ~head | several[number]
+        copies = ~head[keep]
+        columns = [pa.array(x[keep], mask=copies) for x in (anchor, context)] + [pa.array(x[keep]) for x in (doc, packed)]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "doc", "pack"])
+
+    return found.repartitionByRange("anchor", "doc", "pack").sortWithinPartitions("anchor", "context", "doc", "pack").mapInArrow(run, RECORD)
 
 
 def _matrix(parts: Sequence[bytes], width: int) -> np.ndarray:
@@ -325,24 +334,25 @@ def with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "part", "parts", "pack")).alias("found"))
-    lists = F.broadcast(lists) if wanted.limit(POSITIONS + 1).count() <= POSITIONS else lists
     return rows.select("doc", "text").join(lists, "doc").mapInArrow(run, schema)
 
 
 def removed_spans(rows: DataFrame) -> DataFrame:
     """(doc, start, end): strings of at least ``LENGTH`` bytes that also start earlier; they may overlap."""
-    found = stored(repeated(all_records(rows)))
-    contexts = stored(found.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pack")).alias("first"), F.count("*").alias("n")))
-    # Copies of a whole context: every occurrence but the first loses all its windows.
-    many = contexts.filter("n > 1").select("anchor", "context", "first")
-    later = found.join(many, ["anchor", "context"]).filter(F.struct("doc", "pack") != F.col("first"))
+    found = written(sifted(all_records(rows)), "records")
+    firsts = found.filter("anchor IS NOT NULL")
+    contexts = written(firsts.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pack")).alias("first"), F.count("*").alias("n")), "contexts")
+    # Copies of a whole context: every occurrence but the first loses all its windows. Most were
+    # seen while sorting; the rest are first in their partition only.
+    later = firsts.join(contexts.filter("n > 1").select("anchor", "context", "first"), ["anchor", "context"]).filter(F.struct("doc", "pack") != F.col("first"))
+    copied = found.filter("anchor IS NULL").select("doc", "pack").unionByName(later.select("doc", "pack"))
     start = F.shiftright("pack", 14) - F.shiftright("pack", 7).bitwiseAND(127)
-    copies = later.select("doc", start.alias("start"), (start + F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
+    copies = copied.select("doc", start.alias("start"), (start + F.col("pack").bitwiseAND(127) + LENGTH).alias("end"))
     # Different contexts of one anchor.
     shared = contexts.groupBy("anchor").agg(F.count("*").alias("size")).filter("size > 1")
     wanted = contexts.select("anchor", "context", "first.*").join(shared, "anchor").withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
-    wanted = stored(wanted.withColumn("part", F.pmod("context", F.col("parts")).cast("int")).select("anchor", "part", "parts", "doc", "pack"))
-    scanned = stored(scan_contexts(with_bytes(rows, wanted)))
+    wanted = written(wanted.withColumn("part", F.pmod("context", F.col("parts")).cast("int")).select("anchor", "part", "parts", "doc", "pack"), "wanted")
+    scanned = written(scan_contexts(with_bytes(rows, wanted)), "spans")
     spans = copies.unionByName(scanned.filter("window IS NULL").drop("window"))
     if not wanted.filter("parts > 1").isEmpty():
         firsts = scanned.filter("window IS NOT NULL")
@@ -398,9 +408,7 @@ RESULT = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def dedupe_substrings(df: DataFrame, key: str, text: str, with_kept: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of each row (and ``kept``, the bytes left)."""
     rows, once = numbered(df, key, text)
-    spans = stored(merged(removed_spans(once)))
-    total = spans.agg(F.count("*"), F.sum(F.size("starts"))).first()
-    spans = F.broadcast(spans) if total[0] + (total[1] or 0) <= POSITIONS else spans
+    spans = merged(removed_spans(once))
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
