@@ -137,8 +137,8 @@ LIGHT = {"trees": 5, "depth": 4}
 RUN = {"sample_size": None, "repeats": 1, "folds": 2}
 
 
-def _scores(variants, repeats: int = 1) -> str:
-    rows = ", ".join(f"({v.name!r}, {run})" for run in range(repeats) for v in variants)
+def _scores(variants: list[str], repeats: int = 1) -> str:
+    rows = ", ".join(f"({name!r}, {run})" for run in range(repeats) for name in variants)
     return f"SELECT variant, run::INTEGER AS run, (SELECT count(*) FROM orders) > 0 AS scored FROM (VALUES {rows}) v(variant, run)"
 
 
@@ -147,38 +147,44 @@ def _run(t, variants, **options):
     return scores.select("variant", "run", (F.col("accuracy").between(0, 1) & F.col("cv_accuracy").between(0, 1)).alias("scored"))
 
 
-MATRIX = experiment.variant_matrix(ORDER_ROLES, **LIGHT)
-SWEEP = experiment.fraction_sweep(ORDER_ROLES, **LIGHT)
+MATRIX = [
+    "original", "corrupted", "cleaned", "duplicates", "nulls", "outliers", "duplicates cleaned", "nulls cleaned", "outliers cleaned", "original cleaned",
+]
+SWEEP = [f"nulls {i / 20:.2f}" for i in range(1, 11)]
 
 
-@query("exp_before", _scores([experiment.Variant("original")], 2))
+def _matrix(names: list[str] = MATRIX):
+    return [v for v in experiment.variant_matrix(ORDER_ROLES, **LIGHT) if v.name in names]
+
+
+@query("exp_before", _scores(["original"], 2))
 def exp_before(t):
     return _run(t, [experiment.Variant("original")], repeats=2)
 
 
 @query("exp_corrupted", _scores(MATRIX[1:2]))
 def exp_corrupted(t):
-    return _run(t, MATRIX[1:2])
+    return _run(t, _matrix(MATRIX[1:2]))
 
 
 @query("exp_cleaned", _scores(MATRIX[2:3]))
 def exp_cleaned(t):
-    return _run(t, MATRIX[2:3])
+    return _run(t, _matrix(MATRIX[2:3]))
 
 
 @query("exp_single", _scores(MATRIX[:3]))
 def exp_single(t):
-    return _run(t, MATRIX[:3])
+    return _run(t, _matrix(MATRIX[:3]))
 
 
 @query("exp_matrix", _scores(MATRIX))
 def exp_matrix(t):
-    return _run(t, MATRIX)
+    return _run(t, _matrix())
 
 
 @query("exp_fraction_sweep", _scores(SWEEP))
 def exp_fraction_sweep(t):
-    return _run(t, SWEEP)
+    return _run(t, experiment.fraction_sweep(ORDER_ROLES, **LIGHT))
 
 
 @query("step_timing")
