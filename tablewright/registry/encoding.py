@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import dates, vectors
 from tablewright.operators import encode
@@ -37,7 +38,7 @@ def one_hot_vector(t):
     return encode.IndicatorVector("p_name").fit(df).transform(df).select("p_partkey", _vector_parts("p_name_vector").alias("v")).select("p_partkey", "v.*")
 
 
-@F.udf("struct<width:bigint, ones:bigint, hot:bigint>")
+@F.udf(T.StructType([T.StructField(name, T.LongType()) for name in ("width", "ones", "hot")]))
 def _vector_parts(vector):
     return int(vector.size), int(vector.values.sum()), int(vector.indices[0])
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import words
 from tablewright.operators import text
@@ -113,7 +114,7 @@ def tfidf_vectors_all(t):
     return weighed.select("doc_id", *_width_and_sum("text_tfidf"))
 
 
-@F.udf("struct<width:bigint, total:double>")
+@F.udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("total", T.DoubleType())]))
 def _measured(vector):
     return int(vector.size), float(vector.values.sum())
 
