@@ -13,6 +13,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
     PCA,
+    CountVectorizer,
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
@@ -124,11 +125,18 @@ class TfidfVectorizer(Estimator):
         terms = checkpoint(vocabulary(term_counts(df, [], self.column), df.count(), self.size).select("term", "idf"))
         if not _shippable(terms):
             raise ValueError(f"the vocabulary of {self.column!r} is too large for vectors; limit it, or use tfidf_terms")
-        rows = terms.orderBy("term").collect()
-        if not rows:
+        held = terms.count()
+        if not held:
             raise ValueError(f"column {self.column!r} holds no term")
-        counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=source, outputCol=count)
-        idf = np.array([r["idf"] for r in rows])
+        if self.size is None:
+            # All terms: counted, numbered and weighed without leaving the engine.
+            tokens = df.select(_term_column(self.column).alias(source))
+            counter = CountVectorizer(inputCol=source, outputCol=count, vocabSize=held).fit(tokens)
+            idf = IDF(inputCol=count).fit(counter.transform(tokens)).idf.toArray() + 1.0
+        else:
+            rows = terms.orderBy("term").collect()
+            counter = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=source, outputCol=count)
+            idf = np.array([r["idf"] for r in rows])
         weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=count, outputCol=f"__{self.column}_w")
         unit = Normalizer(p=2.0, inputCol=f"__{self.column}_w", outputCol=f"{self.column}_tfidf")
         return TfidfModel(self.column, PipelineModel([counter, weigh, unit]))
