@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare word runs find candidates, alignment scores them.
-
-The words of the test items are counted over all training texts. A run of ``RUN`` words of an
-item is a seed if its words, drawn independently at their corpus shares, would make it up with a
-probability of at most ``RARE``; an item without such a run seeds all of its runs. Seeds are
-looked up in every text. Around the seeds of one item the text is aligned with the whole item
-(Smith-Waterman over words, so that replaced, added and dropped words cost a little), and the
-pair is reported if the score is at least ``SCORE`` of what an exact copy gets.
+"""Benchmark decontamination: word runs find candidates, the rarest first, alignment scores them.
+
+The words of the test items are counted over all training texts. The rarity of a run of ``RUN``
+words of an item is the probability that its words, drawn independently at their corpus shares,
+make it up. An item's rarest runs are its seeds, until ``n // RUN`` of them (n words in the item)
+lie side by side without overlap, and beyond that all runs of at most ``RARE``. So a copy with
+fewer than ``n // RUN`` changed words, wherever they are, keeps a seed; with that many, it may
+have no run of the item left. Items of fewer than ``2 * RUN`` words, and items without a run of at
+most ``RARE``, seed all of their runs. Seeds are looked up in every text. Around the seeds of one
+item the text is aligned with the whole item (Smith-Waterman over words, so that replaced, added
+and dropped words cost a little), and the pair is reported if the score is at least ``SCORE`` of
+what an exact copy gets; for a short item of common words, half of its words in a row are enough.
 
 Items travel to all texts in blocks of ``ITEM_BLOCK`` words at most; texts are never shuffled.
 Items with fewer than ``RUN`` words (null and empty ones too) cannot be told from chance and are
@@ -90,6 +94,31 @@ def word_shares(df: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
     return np.maximum(out, 1) / total
 
 
+def apart(places: np.ndarray) -> int:
+    """How many runs that begin at the (sorted) places fit side by side without overlap."""
+    n, free = 0, 0
+    for at in places.tolist():
+        if at >= free:
+            n, free = n + 1, at + RUN
+    return n
+
+
+def seed_limit(chance: np.ndarray, words: int) -> float:
+    """The rarity up to which the runs of an item of so many words are seeds."""
+    if words < 2 * RUN or not (chance <= RARE).any():
+        return np.inf
+    # The least rarity at which as many runs lie apart as the item has room for.
+    steps = np.unique(chance)
+    low, high = 0, steps.size - 1
+    while low < high:
+        middle = (low + high) // 2
+        if apart(np.flatnonzero(chance <= steps[middle])) >= words // RUN:
+            high = middle
+        else:
+            low = middle + 1
+    return max(RARE, steps[low])
+
+
 def seeded(ids: list[int], held: list[np.ndarray], vocabulary: np.ndarray, shares: np.ndarray) -> Items:
     """Choose the seeds of a block of items."""
     seeds, item, place = [], [], []
@@ -97,7 +126,7 @@ def seeded(ids: list[int], held: list[np.ndarray], vocabulary: np.ndarray, share
         runs, at = run_hashes(h, np.zeros(h.size, np.int64), RUN)
         chance = shares[np.searchsorted(vocabulary, h)]
         chance = np.prod([chance[j : h.size - RUN + 1 + j] for j in range(RUN)], 0)
-        use = chance <= RARE if (chance <= RARE).any() else np.ones(runs.size, bool)
+        use = chance <= seed_limit(chance, h.size)
         seeds.append(runs[use]), item.append(np.full(use.sum(), k)), place.append(at[use])
     seeds, item, place = map(np.concatenate, (seeds, item, place))
     order = np.argsort(seeds, kind="stable")
@@ -144,6 +173,9 @@ def leaks_of_block(texts: pa.Array, items: Items, least: float) -> list[list[dic
         slack = max(5, wanted.size // 4)
         a = max(int(first[i]), int(start[k].min()) - slack)
         b = min(int(first[i + 1]), int(start[k].max()) + wanted.size + slack)
+        # Each word of the item that the window lacks is lost to the score.
+        if EQUAL * np.isin(wanted, h[a:b]).sum() < least * EQUAL * wanted.size:
+            continue
         score, end = align(wanted, h[a:b])
         if score >= least * EQUAL * wanted.size:
             out[i].append({"item_id": items.ids[j], "score": score / (EQUAL * wanted.size), "n_seeds": int(np.unique(where[k]).size), "first_word": max(0, a + end - wanted.size - int(first[i])), "last_word": a + end - int(first[i])})

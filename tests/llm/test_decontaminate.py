@@ -100,3 +100,27 @@ def test_seeds_are_rare_runs():
     items = D.seeded([1], [h], vocabulary, shares)
     assert sorted(items.place.tolist()) == [2, 3, 4, 5]
     assert D.seeded([1], [h[:4]], vocabulary, shares).place.size == 2
+
+
+def test_an_edit_at_any_place_of_an_item_of_common_words(spark):
+    rng = random.Random(4)
+    common = "what is the of in and to a it was".split()
+    items = [(1, "what is the capital of france"), (2, "in the end it was the gift of a stranger to the queen and it is lost")]
+    docs = [(-1 - k, " ".join(rng.choices(common, k=300) + rng.choices(WORDS, k=100))) for k in range(600)]
+    want = set()
+    for i, text in items:
+        for k in range(len(text.split())):
+            copy = text.split()
+            copy[k] = "zzz"
+            docs.append((100 * i + k, f"{prose(20, rng)} {' '.join(copy)} {prose(20, rng)}"))
+            want.add((100 * i + k, i))
+    assert want <= set(find(spark, docs, items))
+
+
+def test_seeds_leave_no_place_bare():
+    rng = np.random.default_rng(5)
+    for n in range(3, 30):
+        chance = 10.0 ** rng.uniform(-12, -2, n - D.RUN + 1)
+        chance[rng.integers(chance.size)] = 1e-10
+        seeds = np.flatnonzero(chance <= D.seed_limit(chance, n))
+        assert D.apart(seeds) == n // D.RUN and set(np.flatnonzero(chance <= D.RARE)) <= set(seeds)
