@@ -35,8 +35,8 @@ PREFIXES = (4, 5, 6)
 MOST, SCALE = 0.02, 50.0
 #: Steps, the size of the first (it falls to 0), and the pull of weights towards 0.
 STEPS, RATE, PULL = 300, 0.05, 1e-3
-#: A feature is used if at least this share of the toxic texts (and 5 of them) have it.
-SHARE = 0.03
+#: A feature is used if this many of the toxic texts have it (all, if there are fewer), at every sample size.
+LEAST = 5
 
 
 def features(texts: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def train(toxic: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEP
     if n == 0 or m == 0:
         return Classifier(weights, -50.0)
     holding = sum(np.bincount(features(part)[0], minlength=1 << BITS) for _, part in blocks(toxic))
-    used = holding >= max(min(5, n), SHARE * n)
+    used = holding >= min(LEAST, n)
     index, row, value = _matrix(pa.concat_arrays([toxic, unlabelled]), used)
     used, index = np.unique(index, return_inverse=True)
     w = np.append(np.zeros(used.size), np.log(prior / (1 - prior)))

@@ -77,6 +77,29 @@ def test_features_are_shares_of_words():
     assert len({(i, o) for i, o in zip(index, owner, strict=True)}) == index.size
 
 
+def test_many_insults_each_in_few_toxic_texts():
+    """200 insults, each in about one of a hundred toxic texts."""
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(5, 9)))
+    clean, insults = [word("abcdefgh") for _ in range(400)], [word("klmnopqrst") for _ in range(200)]
+
+    def texts(n, toxic):
+        out = []
+        for _ in range(n):
+            text = rng.choices(clean, k=rng.randint(20, 60))
+            for insult in rng.choices(insults, k=2 if toxic else 0):
+                text.insert(rng.randrange(len(text)), insult)
+            out.append(" ".join(text))
+        return out
+
+    sample = [pa.array(x, pa.large_string()) for x in (texts(2000, True), texts(800, True) + texts(3200, False))]
+    held = [sum(insult in text for text in sample[0].to_pylist()) / 2000 for insult in insults]
+    assert np.mean(held) < 0.015 and max(held) < 0.03
+    model = X.train(*sample, prior=0.2)
+    scores = model.scores(pa.array(texts(200, True) + texts(800, False), pa.large_string()))
+    assert (scores[:200] >= 0.3).mean() > 0.8 and (scores[200:] < 0.3).mean() > 0.9
+
+
 def test_scores_do_not_depend_on_blocks():
     model = X.train(*[pa.array([t for _, t, x in corpus(200) if x == y or not y], pa.large_string()) for y in (1, 0)], prior=0.2)
     texts = pa.array([t for _, t, _ in corpus(50, 3)], pa.large_string())
