@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import blocks, raw, sample_texts, strings
+from tablewright.llm.common import SALT, blocks, raw, sample_texts, span_hashes, strings
 
 #: The fixed patterns, in the order of their kinds, with the least length of the group tested.
 PATTERNS = {
@@ -47,7 +47,7 @@ NEAR = 5
 B, I, O = 0, 1, 2  # noqa: E741
 KEYWORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api", "key", "credential", "credentials", "auth", "bearer", "private", "api_key", "api-key", "access_key", "secret_key", "auth_token", "access_token"]
 WORDS = {w.encode() for w in KEYWORDS}
-WORD_SIZES = sorted({len(w) for w in WORDS})
+WORD_HASHES = np.concatenate([span_hashes(SALT[np.frombuffer(w, np.uint8)], np.array([0]), np.array([len(w)])) for w in sorted(WORDS)])
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 LENGTHS = np.array([4, 8, 12, 16, 20, 32, 40])
@@ -89,9 +89,6 @@ def shape_features() -> np.ndarray:
 
 
 SHAPES = shape_features()
-#: Only tokens of 8 or more ASCII characters with a digit may be part of a secret.
-_CODES = np.arange(SHAPES.shape[0])
-BARRED = ((_CODES >> 7) < 2) | ((_CODES & DIGIT) == 0) | ((_CODES & WIDE) > 0)
 
 
 @dataclass
@@ -114,11 +111,9 @@ class Tokens:
         last[:-1] = self.first[1:]
         lowered = LOWERED[self.data]
 
-        def keyword(k: np.ndarray, there: np.ndarray) -> np.ndarray:
-            out = np.zeros(k.size, bool)
-            near = np.flatnonzero(there & np.isin(self.end[k] - self.start[k], WORD_SIZES))
-            out[near] = [lowered[a:b].tobytes() in WORDS for a, b in zip(self.start[k[near]], self.end[k[near]], strict=True)]
-            return out
+        known = np.isin(span_hashes(SALT[lowered], self.start, self.end), WORD_HASHES)
+        some = np.flatnonzero(known)
+        known[some] = [lowered[a:b].tobytes() in WORDS for a, b in zip(self.start[some], self.end[some], strict=True)]
 
         def gap(a: np.ndarray, b: np.ndarray, char: str) -> np.ndarray:
             return sums[char][b] > sums[char][a]
@@ -137,7 +132,7 @@ class Tokens:
         equals = sums["="][text_at[owner + 1]] - sums["="][text_at[owner]]
         prev_code, next_code = self.code[before] & 127, self.code[after] & 127
         columns = [
-            keyword(before, has1), keyword(before2, has2),
+            has1 & known[before], has2 & known[before2],
             has1 & gap(gap_a, gap_b, "="), has1 & gap(gap_a, gap_b, ":"), has1 & (gap(gap_a, gap_b, '"') | gap(gap_a, gap_b, "'")),
             gap(tail_a, tail_b, '"') | gap(tail_a, tail_b, "'"), gap(tail_a, tail_b, "="),
             self.first[at], last[at],
@@ -185,7 +180,6 @@ class Field:
 
     def __post_init__(self):
         self.own = SHAPES @ self.shape
-        self.own[BARRED, :O] = self.own[BARRED, O:] - 1e4
         gains = [self.begin[y] + max(self.move[y, c] - self.move[O, c] for c in range(3)) - self.begin[O] for y in (B, I)]
         gains += [self.move[a, y] - self.move[a, O] + max([0.0, *(self.move[y, c] - self.move[O, c] for c in range(3))]) for y in (B, I) for a in range(3)]
         gains += [self.begin[y] - self.begin[O] for y in (B, I)]
@@ -273,7 +267,6 @@ def train(texts: pa.Array, passes: int = PASSES) -> Field:
     chosen[rng.permutation(np.flatnonzero(~chosen))[:CLEAN_RUNS]] = True
     code, context, label, length = code[chosen[run]], context[chosen[run]], label[chosen[run]], length[chosen]
     # Altered copies, so that neither the word before a secret nor one shape of it is all that counts.
-    label[BARRED[code]] = O
     copies = [(code, context)]
     for drop in ([0, 1], [2, 3, 4, 5, 6]):
         masked = context.copy()
@@ -299,7 +292,6 @@ def train(texts: pa.Array, passes: int = PASSES) -> Field:
     n = len(label)
     for k in range(1, passes + 1):
         emit, move, head = (x @ w[: d * 3].reshape(d, 3)), w[d * 3 : d * 3 + 9].reshape(3, 3), w[-3:]
-        emit[BARRED[code], :O] -= 1e4
         e = emit[index]
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = head + e[:, 0]

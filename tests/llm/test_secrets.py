@@ -56,6 +56,38 @@ def test_field_finds_secrets_that_no_pattern_matches(field):
     assert [k for _, k, _ in found[0]] == [3] and [k for _, k, _ in found[1]] == [3] and found[2] == []
 
 
+def letters(n, seed):
+    """(words of a text, a secret of letters alone in three parts)."""
+    rng = np.random.default_rng(seed)
+    for text in corpus(n):
+        w = [x for x in text.split(" ") if x not in ("token", "=") and not re.search("[0-9a-f]{16}", x)]
+        yield w, "=".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH"), size)) for size in (20, 5, 5))
+
+
+@pytest.fixture(scope="module")
+def field_of_letters():
+    rng = np.random.default_rng(9)
+    texts = corpus()
+    for k, (w, secret) in enumerate(letters(300, 2)):
+        if k % 3 == 0:
+            texts.append(" ".join([*w[:20], f'{rng.choice(["password", "secret", "token"])} = "{secret}"', *w[20:]]))
+    return X.train(pa.array(texts, pa.large_string()))
+
+
+@pytest.mark.parametrize("word", ["bearer", "pwd"])
+def test_field_finds_secrets_without_digits(field_of_letters, word):
+    """No base pattern knows these words; the secret has no digit and ends in parts of five letters."""
+    right, n = 0, 100
+    for w, secret in letters(n, 3):
+        text = " ".join([*w[:20], f'{word} = "{secret}"', *w[20:]])
+        a = text.index(secret)
+        assert not X.base_spans(text)
+        right += (a, 3, a + len(secret)) in spans([text], field_of_letters)[0]
+    assert right >= 0.9 * n
+    plain = [" ".join(w) for w, _ in letters(n, 4)]
+    assert not any(spans(plain, field_of_letters))
+
+
 def test_base_spans_stay_and_added_ones_do_not_overlap(field):
     for text, found in zip(corpus(60), spans(corpus(60), field), strict=True):
         assert [s for s in found if s[1] < 3] == X.base_spans(text)
