@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, line_dedup, mixing
+from tablewright.llm import chat, chat_repair, collocations, line_dedup, mixing
 from tablewright.llm.common import table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.jaccard_join import near_duplicates
@@ -95,6 +95,23 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of 2 to 4 words of every language."""
+    return collocations.mine_phrases(table(spark, folder, "documents"), "text", "lang")
+
+
+ORACLES["op11_collocations"] = collocations.SQL.format(documents="documents")
+
+
+def op13_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged by a hash of their turns and repaired by the cheapest edits."""
+    columns = ["conv_id", "turn", "role", "text"]
+    return chat_repair.repair(chat_repair.damage(table(spark, folder, "conversations"), *columns), *columns)
+
+
+ORACLES["op13_chat_repair"] = chat_repair.sql("conversations")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Documents after all stages of the corpus pipeline."""
     import corpus_pipeline
@@ -102,4 +119,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours, op11_collocations, op13_chat_repair, pipeline)}
