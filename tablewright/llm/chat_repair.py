@@ -9,13 +9,15 @@ Survivors are leaves of a tree of edits that point back and count who points at
 that nobody follows any more takes its branch with it. As soon as all branches meet in one edit,
 everything up to it is certain: those edits are emitted, their rows let go, and the tree is rooted
 there. What is held is the undecided end of a conversation, not the conversation. Ties
-are settled by comparing the two branches over their whole undecided length; before it they are one.
+are settled by the two branches' whole undecided length (before it they are one): survivors are
+ranked by it after every row, so that a comparison only looks at what has come since. A state that
+another can replace at no greater cost whatever follows is given up.
 
 Spark brings the rows of a conversation together in order (one shuffle by conversation, sorts that
 spill), marks repeated rows, and streams them through; the two digests grow as edits are emitted. One
 conversation is one stream, since its digest is a chain; its memory does not grow with its length.
 
-Order within a conversation: turn (nulls first), role, text, copy. Null roles and texts, and
+Order within a conversation: turn (nulls first), role, text; of equal rows the first counts and the others are repeats. Null roles and texts, and
 null parts of the damage key, read as one space; a null conversation is one of its own. Empty tables give no rows,
 conversations without rows zeros. Other columns are dropped before the shuffle, whatever their names.
 """
@@ -45,61 +47,88 @@ RESULT = "blank long, duplicate long, truncated long, illegal long, cost long, a
 
 
 class Edit:
-    """A node of the tree: one edit, what it emits, where it came from and how many point at it."""
+    """A node of the tree: one edit, what it emits, where it came from and who points at it."""
 
-    __slots__ = ("back", "depth", "letter", "line", "users")
+    __slots__ = ("back", "kids", "letter", "line", "rank", "row", "survives")
 
-    def __init__(self, back: Edit | None, letter: str, line: str | None):
-        self.back, self.letter, self.line, self.users = back, letter, line, 0
-        self.depth = back.depth + 1 if back else 0
-        if back:
-            back.users += 1
-
-
-def reads_first(x: Edit, y: Edit) -> bool:
-    """Whether the edits up to ``x`` read before those up to ``y``; compares what the two don't share."""
-    first, second = [], []
-    while x is not y:
-        if x.depth >= y.depth:
-            first.append(x.letter)
-            x = x.back
-        else:
-            second.append(y.letter)
-            y = y.back
-    return first[::-1] < second[::-1]
+    def __init__(self, back: Edit | None, letter: str, line: str | None, row: int):
+        self.back, self.letter, self.line, self.row = back, letter, line, row
+        self.kids: list[Edit] = []
+        self.survives, self.rank = False, 0
 
 
 class Survivors:
     """The cheapest edits to each state; ``emit(letter, line)`` is called once an edit is certain."""
 
     def __init__(self, emit: Callable[[str, str | None], None]):
-        self.emit = emit
-        self.root = Edit(None, "", None)
-        self.root.users = 1
+        self.emit, self.now = emit, 0
+        self.root = Edit(None, "", None, -1)
+        self.root.survives = True
         self.best: dict[int, tuple[int, Edit]] = {NOTHING: (0, self.root)}
         self.held = self.most = 0
         self._insertions()
+        self._order()
+
+    def _since(self, node: Edit) -> tuple[Edit, list[str]]:
+        """The survivor of the last row that ``node`` comes from, and the letters after it."""
+        letters: list[str] = []
+        while node.row == self.now and node is not self.root:
+            letters.append(node.letter)
+            node = node.back
+        return node, letters[::-1]
+
+    def _inserted(self, node: Edit, below: Edit) -> int:
+        """How many insertions lead from ``below`` to ``node``; -1 if it isn't below it."""
+        n = 0
+        while node is not below:
+            if node.letter != "I" or node is self.root:
+                return -1
+            node, n = node.back, n + 1
+        return n
+
+    def reads_first(self, x: Edit, y: Edit) -> bool:
+        """Whether the undecided edits up to ``x`` read before those up to ``y``.
+
+        Up to the last row they were compared when it ended (``rank``); neither begins with
+        the other unless only insertions lie between.
+        """
+        (base, first), (other, second) = self._since(x), self._since(y)
+        if base is not other:
+            if (n := self._inserted(other, base)) >= 0:
+                second = ["I"] * n + second
+            elif (n := self._inserted(base, other)) >= 0:
+                first = ["I"] * n + first
+            else:
+                return base.rank < other.rank
+        return first < second
+
+    def _order(self) -> None:
+        """Rank the survivors by their undecided edits, for the comparisons of the next row."""
+        nodes = [node for _, node in self.best.values()]
+        ranks = [sum(self.reads_first(other, node) for other in nodes) for node in nodes]
+        for node, rank in zip(nodes, ranks, strict=True):
+            node.rank = rank
 
     def _offer(self, into: dict[int, tuple[int, Edit]], state: int, cost: int, back: Edit, letter: str, line: str | None) -> bool:
         old = into.get(state)
         if old and old[0] < cost:
             return False
-        node = Edit(back, letter, line)
-        self.held += 1
-        if old and (old[0] == cost and not reads_first(node, old[1])):
-            self._drop(node)
+        node = Edit(back, letter, line, self.now)
+        if old and old[0] == cost and not self.reads_first(node, old[1]):
             return False
-        node.users += 1
+        back.kids.append(node)
+        self.held += 1
+        node.survives = True
         into[state] = (cost, node)
         if old:
-            old[1].users -= 1
+            old[1].survives = False
             self._drop(old[1])
         return True
 
     def _drop(self, node: Edit) -> None:
         """Free a branch that nobody points at."""
-        while node.users == 0 and node is not self.root:
-            node.back.users -= 1
+        while not node.kids and not node.survives and node is not self.root:
+            node.back.kids.remove(node)
             self.held -= 1
             node = node.back
 
@@ -117,6 +146,7 @@ class Survivors:
     def row(self, role: str, text: str, must_go: bool, truncated: bool) -> None:
         """The next row of the conversation."""
         last, self.best = self.best, {}
+        self.now += 1
         for state, (cost, node) in last.items():
             self._offer(self.best, state, cost + COST["D"], node, "D", None)
             if not must_go:
@@ -127,45 +157,41 @@ class Survivors:
                 due, after = DUE[state]
                 self._offer(self.best, after, more + COST["R"], node, "R", f"{due}:{text}")
         for _, node in last.values():
-            node.users -= 1
+            node.survives = False
             self._drop(node)
         self._insertions()
+        # What may follow nothing may follow an assistant, once a system row is deleted; what may follow system too.
+        for state, more in ((NOTHING, COST["D"]), (SYSTEM, 0)):
+            if state in self.best and self.best[state][0] > self.best[ASSISTANT][0] + more:
+                _, node = self.best.pop(state)
+                node.survives = False
+                self._drop(node)
+        self._order()
         self.most = max(self.most, self.held)
-        self._settle()
-
-    def _settle(self) -> None:
-        """Emit what all survivors share."""
-        meet: Edit | None = None
-        for _, node in self.best.values():
-            if meet is None:
-                meet = node
-            while node is not meet:
-                if node.depth > meet.depth:
-                    node = node.back
-                else:
-                    meet = meet.back
-        self._emit_to(meet)
-
-    def _emit_to(self, node: Edit) -> None:
-        path, at = [], node
-        while at is not self.root:
-            path.append(at)
-            at = at.back
-        for edit in reversed(path):
-            self.emit(edit.letter, edit.line)
-        if path:
-            self.held -= len(path)
-            self.root, node.back, node.line = node, None, None
+        # All survivors come from the root's only child: that edit is certain.
+        while len(self.root.kids) == 1 and not self.root.survives:
+            self._advance(self.root.kids[0])
+
+    def _advance(self, node: Edit) -> None:
+        self.emit(node.letter, node.line)
+        self.held -= 1
+        self.root, node.back, node.line = node, None, None
 
     def end(self) -> int:
         """Emit the rest of the cheapest edits that may end here; their cost."""
+        self.now += 1
         cost, node = None, None
         for state in ENDS:
             if state in self.best:
                 c, other = self.best[state]
-                if cost is None or c < cost or (c == cost and reads_first(other, node)):
+                if cost is None or c < cost or (c == cost and self.reads_first(other, node)):
                     cost, node = c, other
-        self._emit_to(node)
+        path = []
+        while node is not self.root:
+            path.append(node)
+            node = node.back
+        for edit in reversed(path):
+            self._advance(edit)
         return cost
 
 
@@ -210,11 +236,11 @@ def repair(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
         F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text"),
         gone.alias("gone"), copy.alias("copy"),
     ).repartition("conv")
-    order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text"), F.asc("copy")]
-    again = F.row_number().over(Window.partitionBy("conv", "gone", "role", "text").orderBy(*order)) > 1
+    time = F.asc_nulls_first("turn")
+    again = F.row_number().over(Window.partitionBy("conv", "gone", "role", "text").orderBy(time, "copy"))
     solid = F.regexp_extract("text", rf"([^{BLANKS}])[{BLANKS}]*+\z", 1)
-    fault = F.when(solid == "", 1).when(again, 2).when(~solid.rlike("^[.!?]"), 3).otherwise(0)
-    streamed = plain.withColumn("fault", fault).sortWithinPartitions(F.asc_nulls_first("conv"), F.asc("gone"), *order)
+    fault = F.when(solid == "", 1).when(F.col("again") > 1, 2).when(~solid.rlike("^[.!?]"), 3).otherwise(0)
+    streamed = plain.withColumn("again", again).withColumn("fault", fault).sortWithinPartitions(F.asc_nulls_first("conv"), "gone", time, "role", "text", "again")
     key = plain.schema["conv"].dataType
     schema = f"conv {key.simpleString()}, gaps long, {RESULT}"
 
@@ -294,10 +320,9 @@ damaged AS (
          CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, c AS copy
   FROM hashed, (VALUES (0), (1)) AS t(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, nth > 1 AS again,
          regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS short
-  FROM damaged),
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged)),
 flawed AS (
   SELECT conv_id, turn, role, text, i, left(role, 1) AS c,
          CASE WHEN short = '' THEN 1 WHEN again THEN 2 WHEN right(short, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,

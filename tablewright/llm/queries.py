@@ -13,6 +13,7 @@ from tablewright.llm.common import table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.jaccard_join import near_duplicates
 from tablewright.llm.neighbours import nearest
+from tablewright.llm.private_data import find_private
 from tablewright.llm.secrets import scan_secrets
 from tablewright.llm.suffix_dedup import dedupe_substrings
 from tablewright.llm.token_counts import count_tokens
@@ -103,6 +104,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op11_collocations"] = collocations.SQL.format(documents="documents")
 
 
+def op12_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: fixed patterns, and identifiers that their contexts reveal."""
+    return find_private(table(spark, folder, "documents"), "text", keep=["doc_id"])
+
+
 def op13_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, damaged by a hash of their turns and repaired by the cheapest edits."""
     columns = ["conv_id", "turn", "role", "text"]
@@ -119,4 +125,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours, op11_collocations, op13_chat_repair, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_decontaminate, op4_suffix_dedup, op5_chat_format, op6_line_dedup, op7_toxicity, op8_jaccard_join, op9_token_counts, op10_nearest_neighbours, op11_collocations, op12_private_data, op13_chat_repair, pipeline)}
