@@ -57,18 +57,21 @@ SMALL = 500_000
 STEP = 512
 
 
-def _running(numbers: Column) -> Column:
-    """Running sums of an array of longs, by blocks, so that long arrays are not copied for every entry."""
+def _sums(part: Column) -> Column:
+    """The sum of an array of longs, and its running sums."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+    return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x)).alias("all")))
 
-    def sums(part: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
-        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x)).alias("all")))
 
-    count = F.ceil(F.size(numbers) / F.lit(STEP)).cast("int")
-    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: sums(F.slice(numbers, b * STEP + 1, F.lit(STEP)))))
-    offsets = sums(F.transform(blocks, lambda b: b["at"]))["all"]
-    added = F.zip_with(blocks, offsets, lambda b, total: F.transform(b["all"], lambda x: x + total - b["at"]))
-    return F.coalesce(F.flatten(added), F.array().cast("array<bigint>"))
+def _blocks(numbers: Column) -> Column:
+    """``_sums`` of blocks of an array, so that long arrays are not copied for every entry."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(STEP))
+    return F.transform(starts, lambda b: _sums(F.slice(numbers, b, F.lit(STEP))))
+
+
+def _running(blocks: Column, totals: Column) -> Column:
+    """Running sums of the whole array, given those of its blocks and of the blocks' sums."""
+    return F.flatten(F.zip_with(blocks, totals, lambda b, total: F.transform(b["all"], lambda x: x + total - b["at"])))
 
 
 def _digits(x: Column) -> Column:
@@ -104,38 +107,59 @@ def _patterns(words: Column, before: Column) -> Column:
     return F.array_compact(F.array(one, F.when(before.isNotNull(), F.xxhash64(F.lit(2), F.right(before, F.lit(WORD)), F.right(words, F.lit(WORD))))))
 
 
-def _contexts(pieces: Column, matches: Column) -> Column:
-    """The patterns of what stands before each match: the piece before it, and the match before that."""
+def _tails(pieces: Column, matches: Column) -> Column:
+    """What stands before each match: the end of the piece before it, and of the match before that."""
 
     def one(i: Column) -> Column:
-        tail = F.concat(F.when(i > 0, F.right(F.get(matches, i - 1), F.lit(WINDOW))).otherwise(""), F.right(F.get(pieces, i), F.lit(WINDOW)))
-        words = F.split(F.rtrim(_plain(F.regexp_replace(tail, rf"(?<!{OPENING}){OPENING}++$", ""))), r"\s+")
-        last = F.element_at(words, -1)
-        two = F.when((F.size(words) > 1) & (F.get(words, F.size(words) - 2) != ""), F.get(words, F.size(words) - 2))
-        apart = tail.rlike(rf"\s{OPENING}*+$") & (last != "")
-        return F.when(apart, _patterns(last, two)).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(F.when(i > 0, F.right(F.get(matches, i - 1), F.lit(WINDOW))).otherwise(""), F.right(F.get(pieces, i), F.lit(WINDOW)))
+
+    return F.when(F.size(matches) > 0, F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one)).otherwise(F.array().cast("array<string>"))
+
+
+def _last_words(tails: Column) -> Column:
+    """The words of each tail; none unless a blank and at most opening marks end it."""
+    plain = lambda t: F.rtrim(_plain(F.regexp_replace(t, rf"(?<!{OPENING}){OPENING}++$", "")))
+    return F.transform(tails, lambda t: F.when(t.rlike(rf"\s{OPENING}*+$"), F.filter(F.split(plain(t), r"\s+"), lambda w: w != "")).otherwise(F.array().cast("array<string>")))
+
 
-    return F.when(F.size(matches) > 0, F.transform(F.sequence(F.lit(0), F.size(matches) - 1), one)).otherwise(F.array().cast("array<array<bigint>>"))
+def _contexts(words: Column) -> Column:
+    return F.transform(words, lambda w: F.when(F.size(w) > 0, _patterns(F.element_at(w, -1), F.get(w, F.size(w) - 2))).otherwise(F.array().cast("array<bigint>")))
 
 
-def _found(df: DataFrame, text: Column, name: str, pattern: str, hint: Column) -> DataFrame:
-    """Adds ``<name>_all``: (start, end, what, patterns) of each match in ``text``."""
+def _found(df: DataFrame, text: Column, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds ``__<name>``: (start, end, what, patterns) of each match of a pattern in ``text``, for each name.
+
+    Step by step, so that nothing is computed twice. A pattern is tried only where its hint holds.
+    """
     none = F.array().cast("array<string>")
-    df = df.withColumns({"__pieces": F.when(hint, F.split(text, pattern, -1)).otherwise(none), "__matches": F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)})
-    lengths = F.zip_with(F.slice("__pieces", F.lit(1), F.size("__matches")), "__matches", lambda x, y: (F.length(x) + F.length(y)).cast("long"))
-    df = df.withColumn("__lengths", lengths)
-    df = df.withColumn("__ends", _running(F.col("__lengths"))).withColumn("__contexts", _contexts(F.col("__pieces"), F.col("__matches")))
-    spans = F.transform(F.arrays_zip(F.col("__ends").alias("e"), F.col("__matches").alias("x"), F.col("__contexts").alias("p")), lambda s: F.struct((s["e"] - F.length(s["x"])).alias("start"), s["e"].alias("end"), s["x"].alias("what"), s["p"].alias("patterns")))
-    return df.withColumn(f"{name}_all", spans).drop("__pieces", "__matches", "__lengths", "__ends", "__contexts")
+
+    def lengths(pieces: Column, matches: Column) -> Column:
+        return F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda x, y: (F.length(x) + F.length(y)).cast("long"))
+
+    def spans(ends: Column, matches: Column, contexts: Column) -> Column:
+        rows = F.arrays_zip(ends.alias("e"), matches.alias("x"), contexts.alias("p"))
+        return F.transform(rows, lambda s: F.struct((s["e"] - F.length(s["x"])).alias("start"), s["e"].alias("end"), s["x"].alias("what"), s["p"].alias("patterns")))
+
+    steps = [
+        lambda n, c: {"pieces": F.when(patterns[n][1], F.split(text, patterns[n][0], -1)).otherwise(none), "matches": F.when(patterns[n][1], F.regexp_extract_all(text, F.lit(patterns[n][0]), F.lit(0))).otherwise(none)},
+        lambda n, c: {"lengths": lengths(c("pieces"), c("matches")), "tails": _tails(c("pieces"), c("matches"))},
+        lambda n, c: {"blocks": _blocks(c("lengths")), "words": _last_words(c("tails"))},
+        lambda n, c: {"totals": _sums(F.transform(c("blocks"), lambda b: b["at"]))["all"], "contexts": _contexts(c("words"))},
+        lambda n, c: {"ends": _running(c("blocks"), c("totals"))},
+        lambda n, c: {"spans": spans(c("ends"), c("matches"), c("contexts"))},
+    ]
+    before = df.columns
+    for step in steps:
+        df = df.withColumns({f"__{n}_{what}": column for n in patterns for what, column in step(n, lambda what, n=n: F.col(f"__{n}_{what}")).items()})
+    return df.select(*before, *[F.col(f"__{n}_spans").alias(f"__{n}") for n in patterns])
 
 
 def base_and_tokens(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """``keep``, ``__id``, the valid fixed matches of each kind as ``__base``, and tokens like identifiers as ``__tokens``."""
     out = df.select(*[df[c] for c in keep], F.coalesce(df[text], F.lit("")).alias("__text"))
     body = F.col("__text")
-    for kind, (pattern, hint) in PATTERNS.items():
-        out = _found(out, body, f"__{kind}", pattern, F.contains(body, F.lit(hint)) if hint else body.rlike("[0-9]"))
-    out = _found(out, body, "__token", TOKEN, body.rlike("[0-9@]"))
+    wanted = {kind: (pattern, F.contains(body, F.lit(hint)) if hint else body.rlike("[0-9]")) for kind, (pattern, hint) in PATTERNS.items()}
+    out = _found(out, body, wanted | {"token": (TOKEN, body.rlike("[0-9@]"))})
 
     def core(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["what"], rf"^{OPENING}*+", 0))
@@ -149,11 +173,11 @@ def base_and_tokens(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
         return F.struct(s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), F.xxhash64(F.lower(s["what"])).alias("what"), s["patterns"].alias("patterns"))
 
     def valid(kind: str, number: int) -> Column:
-        checked = F.filter(f"__{kind}_all", lambda s: _valid(kind, s["what"]))
+        checked = F.filter(f"__{kind}", lambda s: _valid(kind, s["what"]))
         return F.transform(checked, lambda s: base(s, number))
 
     kinds = [valid(kind, number) for number, kind in enumerate(PATTERNS)]
-    tokens = F.transform(F.filter(F.transform("__token_all", core), likely), lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("kind"), s["end"].alias("end"), F.xxhash64(s["what"]).alias("what"), s["patterns"].alias("patterns")))
+    tokens = F.transform(F.filter(F.transform("__token", core), likely), lambda s: F.struct(s["start"].alias("start"), F.lit(-1).alias("kind"), s["end"].alias("end"), F.xxhash64(s["what"]).alias("what"), s["patterns"].alias("patterns")))
     return out.select(*[F.col(c) for c in keep], F.monotonically_increasing_id().alias("__id"), F.array_sort(F.concat(*kinds)).alias("__base"), tokens.alias("__tokens"))
 
 
@@ -190,6 +214,8 @@ def score_graph(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tu
         worth = known.unionByName(guessed).groupBy("pattern").agg(F.sum("score").alias("worth")).filter(F.col("worth") >= SUPPORT)
         sure = worth.join(size, "pattern").select("pattern", F.least(F.col("worth") / F.col("size"), F.lit(0.999)).alias("confidence"))
         confident = written(sure.filter(F.col("confidence") >= SURE), "patterns")
+        if confident.isEmpty():  # nothing is found, now or in a later round
+            return confident, edges.filter("false").select("what", F.lit(0.0).alias("score"))
         err = F.exp(F.sum(F.log(1 - F.col("confidence"))))
         found = written(edges.filter("not seed").join(maybe_broadcast(confident, SMALL), "pattern").groupBy("what").agg((1 - err).alias("score")), "identifiers")
     return confident, found
