@@ -7,7 +7,7 @@ boilerplate, those clearly below are not, and the few near it get an exact count
 
 Boilerplate lines leave every text that holds them. Empty lines stay, so do all others, in order.
 Null texts stay null and empty ones empty; a null site is a site of its own. Repeated rows do
-not add sites. Input columns named like the added ones get the suffix ``_input``.
+not add sites. The work is linear in the lines of a text, however long. Input columns named like the added ones get the suffix ``_input``.
 """
 
 from __future__ import annotations
@@ -38,9 +38,15 @@ def _lines(text: str) -> Column:
 
 
 def _held(df: DataFrame, text: str, *columns: Column) -> DataFrame:
-    """One row per line that is not empty: its hashes as ``line``, and ``columns``."""
-    wanted = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: _line(x) != ""), _hashes))
-    return df.select(*columns, F.explode(wanted).alias("line")).select("*", "line.a", "line.b").drop("line")
+    """One row per line that is not empty: its place, its hashes (a, b), and ``columns``.
+
+    Repeated lines of a text stay apart here; the groupings that follow bring them together.
+    """
+    # The columns are computed once a text, below the explosion, not once a line.
+    texts = df.select(*columns, F.transform(_lines(text), _line).alias("__all"))
+    names = [c for c in texts.columns if c != "__all"]
+    every = texts.select(*names, F.posexplode("__all").alias("place", "line")).filter(F.col("line") != "")
+    return every.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
 def boilerplate(df: DataFrame, text: str, site: str, sites: int = SITES) -> DataFrame:
@@ -62,19 +68,21 @@ def remove_boilerplate(df: DataFrame, key: str, text: str, site: str, sites: int
     df = set_aside(df, "n_lines", "n_removed")
     columns = df.columns
     lines = maybe_broadcast(stored(boilerplate(df, text, site, sites)), LINES)
-    row = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.xxhash64(text).cast("string")))
-    # Which of them a row holds: a set bounded by the row's own lines. Rows that share a key share
-    # the set; a line of another row is never in a text, so this changes nothing.
-    per_row = _held(df, text, row.alias("__row")).join(lines, ["a", "b"], "left_semi").groupBy("__row").agg(F.collect_set("a").alias("__drop"))
-    joined = df.withColumn("__row", row).join(per_row, "__row", "left")
-    gone = F.coalesce("__drop", F.array().cast("array<bigint>"))
-    stays = F.filter(_lines(text), lambda x: (_line(x) == "") | ~F.array_contains(gone, F.xxhash64(_line(x))))
-    before = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
-    cleaned = joined.withColumn("__kept", F.when(F.col(text).isNotNull(), stays))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(before).cast("long")
-    n_kept = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__kept")).cast("long")
-    kept = F.array_join("__kept", "\n")
-    return cleaned.select(*[kept.alias(c) if c == text else c for c in columns], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_removed"))
+    # A row is known by its key and its text: rows that share both have the same lines in the same places.
+    own = [F.col(key).cast("string").alias("__key"), F.xxhash64(text).alias("__text"), F.xxhash64(F.lit(1), text).alias("__other")]
+    per_row = _held(df, text, *own).join(lines, ["a", "b"], "left_semi").groupBy("__key", "__text", "__other").agg(F.collect_list("place").alias("__drop"))
+    joined = df.select("*", *own)
+    same = joined["__key"].eqNullSafe(per_row["__key"]) & (joined["__text"] == per_row["__text"]) & (joined["__other"] == per_row["__other"])
+    joined = joined.join(per_row, same, "left").select(*[joined[c] for c in columns], "__drop").withColumn("__lines", _lines(text))
+    # Places that stay, by a set difference: linear in the lines of the text, however many go.
+    count = F.coalesce(F.size("__lines"), F.lit(0))
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    stay = F.when(F.col("__drop").isNull(), places).otherwise(F.array_except(places, "__drop"))
+    cleaned = joined.withColumn("__stay", stay).withColumn("__kept", F.transform("__stay", lambda i: F.get("__lines", i)))
+    kept = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
+    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
+    n_removed = n_lines - F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("__stay")).cast("long")
+    return cleaned.select(*[kept.alias(c) if c == text else c for c in columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 #: The same in SQL, exactly counted.

@@ -107,3 +107,24 @@ def test_empty_tables(spark):
 def test_clashing_columns_of_line_dedup(spark):
     df = spark.createDataFrame([(1, "a", "s", 1)], SCHEMA + ", n_lines int")
     assert line_dedup.remove_boilerplate(df, "doc_id", "text", "source").columns == ["doc_id", "text", "source", "n_lines_input", "n_lines", "n_removed"]
+
+
+def test_line_dedup_is_linear_in_lines(spark):
+    """One text of 400,000 lines, half of which go, among sites that share them."""
+    import time
+
+    shared = [f"shared {k}" for k in range(2000)]
+    long = "\n".join(x for k in range(200_000) for x in (shared[k % 2000], f"own {k}"))
+    data = [(k, "\n".join(shared), f"s{k}") for k in range(12)] + [(99, long, "log")]
+    started = time.time()
+    rows = {r.doc_id: r for r in line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA), "doc_id", "text", "source").collect()}
+    assert time.time() - started < 60
+    assert (rows[99].n_lines, rows[99].n_removed) == (400_000, 200_000)
+    assert rows[99].text == "\n".join(f"own {k}" for k in range(200_000))
+
+
+def test_line_dedup_of_rows_that_share_a_key(spark):
+    common = [f"site {k}" for k in range(12)]
+    data = [(7, "menu\nfirst", s) for s in common] + [(7, "second\nmenu", "x"), (None, "menu\nthird\nmenu", "y"), (None, "menu\nthird\nmenu", "y")]
+    rows = line_dedup.remove_boilerplate(spark.createDataFrame(data, SCHEMA), "doc_id", "text", "source").collect()
+    assert sorted(r.text for r in rows) == [""] * 12 + ["second", "third", "third"]
