@@ -9,7 +9,11 @@ what they are in the unlabelled sample.
 A text's score is the logistic of a bias and weighted features: the share of its words that are a
 given word, or begin with given 4, 5 or 6 bytes, up to ``MOST``. Only text is looked at.
 
-Null and empty texts score as the bias alone. Repeated label rows of one id count once (toxic if
+Training happens on the driver, on samples bounded in texts and in bytes, so its memory does not
+depend on the table or on how long its texts are.
+
+Null and empty texts score as the bias alone. Empty tables give an empty result, and columns other than
+those named are not looked at; a kept column named like the score gets the suffix ``_input``. Repeated label rows of one id count once (toxic if
 any says so); null labels are no labels. Without any toxic example every score is 0.
 """
 
@@ -25,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import SALT, blocks, mixed, raw, sample_texts, span_hashes, strings, words
+from tablewright.llm.common import SALT, blocks, mixed, raw, sample_texts, set_aside, span_hashes, strings, words
 
-#: Bounds of the training sample: toxic texts, unlabelled texts, and characters of each.
+#: Bounds of the training sample: toxic texts, unlabelled texts, characters of each text, and bytes of either kind together.
 TOXIC, UNLABELLED, CHARS = 3000, 6000, 20_000
+TOXIC_BYTES, UNLABELLED_BYTES = 6 << 20, 14 << 20
+#: Entries of the feature matrix that are multiplied at a time in training.
+SLICE = 1 << 18
 BITS = 20
 PREFIXES = (4, 5, 6)
 #: A feature's value is its share of the words up to MOST, times SCALE.
@@ -70,13 +77,57 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(owner, self.weights[index] * value, len(texts)), -50, 50)))
 
 
-def _matrix(texts: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``features`` of a sample of texts."""
-    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
-    for first, part in blocks(texts):
-        index, owner, value = features(part, used)
-        parts.append((index.astype(np.int32), (owner + first).astype(np.int32), value.astype(np.float32)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+class Matrix:
+    """Features of a sample of texts, row after row: 8 bytes an entry, multiplied slice by slice."""
+
+    def __init__(self, texts: pa.Array, code: np.ndarray):
+        """``code``: the number of each used feature, -1 for others."""
+        index, value, size = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
+        for _, part in blocks(texts):
+            feature, owner, share = features(part, code >= 0)
+            index.append(code[feature])
+            value.append(share.astype(np.float32))
+            size.append(np.bincount(owner, minlength=len(part)))
+        self.index, self.value = np.concatenate(index), np.concatenate(value)
+        self.ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *size]))
+        self.rows = self.ends.size - 1
+        # Runs of rows with about SLICE entries; a row has no more than a text has words.
+        cuts = np.searchsorted(self.ends, np.arange(0, self.ends[-1] + SLICE, SLICE))
+        self.cuts = np.unique(np.clip([*cuts, self.rows], 0, self.rows))
+
+    def _slices(self) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            yield a, b, slice(self.ends[a], self.ends[b]), np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1]))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.rows)
+        for a, b, part, row in self._slices():
+            out[a:b] = np.bincount(row, weights[self.index[part]] * self.value[part], b - a)
+        return out
+
+    def summed(self, pull: np.ndarray, n: int) -> np.ndarray:
+        """For each feature the sum of its values, each times ``pull`` of its row."""
+        out = np.zeros(n)
+        for a, b, part, row in self._slices():
+            out += np.bincount(self.index[part], pull[a:b][row] * self.value[part], n)
+        return out
+
+
+def risk(z: np.ndarray, n: int, prior: float) -> tuple[float, float]:
+    """The two parts of the risk, given the scores of ``n`` toxic and then the unlabelled texts."""
+    as_clean = np.logaddexp(0, z)
+    return prior * np.logaddexp(0, -z[:n]).mean(), as_clean[n:].mean() - prior * as_clean[:n].mean()
+
+
+def slope(z: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """How the risk moves with each score; where its second part is negative, the way back up along that part."""
+    p, m = 1 / (1 + np.exp(-np.clip(z, -50, 50))), z.size - n
+    pull = np.empty(z.size)
+    if risk(z, n, prior)[1] >= 0:
+        pull[:n], pull[n:] = prior * (p[:n] - 1) / n - prior * p[:n] / n, p[n:] / m
+    else:
+        pull[:n], pull[n:] = prior * p[:n] / n, -p[n:] / m
+    return pull
 
 
 def train(toxic: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEPS) -> Classifier:
@@ -86,26 +137,19 @@ def train(toxic: pa.Array, unlabelled: pa.Array, prior: float, steps: int = STEP
     if n == 0 or m == 0:
         return Classifier(weights, -50.0)
     holding = sum(np.bincount(features(part)[0], minlength=1 << BITS) for _, part in blocks(toxic))
-    used = holding >= min(LEAST, n)
-    index, row, value = _matrix(pa.concat_arrays([toxic, unlabelled]), used)
-    used, index = np.unique(index, return_inverse=True)
+    used = np.flatnonzero(holding >= min(LEAST, n))
+    code = np.full(1 << BITS, -1, np.int32)
+    code[used] = np.arange(used.size)
+    x = Matrix(pa.concat_arrays([toxic, unlabelled]), code)
     w = np.append(np.zeros(used.size), np.log(prior / (1 - prior)))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
-        z = w[-1] + np.bincount(row, w[index] * value, n + m)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        as_clean = np.logaddexp(0, z)
-        pull = np.empty(n + m)
-        if as_clean[n:].mean() >= prior * as_clean[:n].mean():
-            pull[:n] = prior * (p[:n] - 1) / n - prior * p[:n] / n
-            pull[n:] = p[n:] / m
-        else:  # back up along the second part alone
-            pull[:n], pull[n:] = prior * p[:n] / n, -p[n:] / m
-        gradient = np.append(np.bincount(index, pull[row] * value, used.size) + PULL * w[:-1], pull.sum())
+        pull = slope(w[-1] + x.times(w), n, prior)
+        gradient = np.append(x.summed(pull, used.size) + PULL * w[:-1], pull.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         w -= RATE * (1 - k / (steps + 1)) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-9)
     # Shift the scores so that their mean over the unlabelled texts is the prior.
-    z = w[-1] + np.bincount(row, w[index] * value, n + m)[n:]
+    z = (w[-1] + x.times(w))[n:]
     low, high = -30.0, 30.0
     for _ in range(50):
         middle = (low + high) / 2
@@ -125,7 +169,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
         return Classifier(np.zeros(1 << BITS), -50.0)
     short = docs.filter(usable & (F.length(text) <= CHARS)).select(key, text)
     some = F.broadcast(known.filter("__toxic = 1").orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(TOXIC).select(key))
-    arrays = [sample_texts(rows, key, text, most) for rows, most in ((short.join(some, key, "left_semi"), TOXIC), (short, UNLABELLED))]
+    arrays = [
+        sample_texts(short.join(some, key, "left_semi"), key, text, TOXIC, TOXIC_BYTES),
+        sample_texts(short, key, text, UNLABELLED, UNLABELLED_BYTES),
+    ]
     return train(*arrays, prior=min(max(share[1] / share[0], 1e-4), 0.9))
 
 
@@ -137,6 +184,8 @@ def score_toxicity(df: DataFrame, text: str, model: Classifier, keep: Sequence[s
     """
     used = np.flatnonzero(model.used)
     shipped = df.sparkSession.sparkContext.broadcast((used, model.weights[used], model.bias))
+    df = set_aside(df, name)
+    keep = [f"{c}_input" if c.lower() == name.lower() else c for c in keep]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

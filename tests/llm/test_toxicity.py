@@ -106,3 +106,53 @@ def test_scores_do_not_depend_on_blocks():
     whole = model.scores(texts)
     single = np.concatenate([model.scores(texts.slice(k, 1)) for k in range(len(texts))])
     assert np.allclose(whole, single)
+
+
+def test_slope_of_the_risk():
+    """The gradient against differences of the risk, on both sides of the kink."""
+    from tablewright.llm.toxicity import risk, slope
+
+    rng = np.random.default_rng(3)
+    for shift in (0.0, -6.0):
+        z, n = rng.normal(size=30), 10
+        z[n:] += shift
+        first, second = risk(z, n, 0.4)
+        back_up = second < 0
+        got = slope(z, n, 0.4)
+        for k in range(z.size):
+            moved = z.copy()
+            moved[k] += 1e-6
+            a, b = risk(moved, n, 0.4)
+            want = (second - b) / 1e-6 if back_up else (a + b - first - second) / 1e-6
+            assert abs(got[k] - want) < 1e-5
+    assert back_up
+
+
+def test_memory_of_training_with_long_texts():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(20_000)]
+    long = pa.array([" ".join(vocabulary[int(20_000 * x**3)] for x in rng.random(3500))[:20_000] for _ in range(800)], pa.large_string())
+    tracemalloc.start()
+    X.train(long.slice(0, 250), long.slice(250), 0.2, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    from tablewright.llm.common import sample_texts
+
+    df = spark.range(9000).selectExpr("id AS doc_id", "concat(cast(id AS string), repeat('word text ', 2000)) AS text")
+    texts = sample_texts(df, "doc_id", "text", 9000, 3 << 20)
+    assert 100 < len(texts) and sum(len(t.as_py()) for t in texts) <= 3 << 20
+    assert texts == sample_texts(df.repartition(7), "doc_id", "text", 9000, 3 << 20)
+
+
+def test_empty_table_and_clashing_names(spark):
+    model = X.Classifier(np.zeros(1 << X.BITS), -1.0)
+    df = spark.createDataFrame([(1, "a", 5.0)], "doc_id long, text string, score double")
+    (row,) = X.score_toxicity(df, "text", model, ["doc_id", "score"]).collect()
+    assert row.score_input == 5.0 and 0 < row.score < 1
+    assert X.score_toxicity(df.limit(0), "text", model, ["doc_id"]).collect() == []
