@@ -28,7 +28,9 @@ they occur. An empty table yields no rows. Other columns are not looked at, so t
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -125,12 +127,22 @@ def _rows(k: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, lang: pa.Array |
     return pa.RecordBatch.from_arrays([pa.array(np.full(a.size, k, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none if lang is None else lang, none if word is None else word, pa.array(n.astype(np.int64))], names=["k", "a", "b", "lang", "word", "n"])
 
 
-def _scan(shard: DataFrame, now: np.ndarray, before: np.ndarray | None, longest: int, salt: int) -> DataFrame:
-    """What is counted in one scan of a shard: words if it is the first, and phrases newly active."""
-    shipped = shard.sparkSession.sparkContext.broadcast((now, before))
+@contextmanager
+def _shipped(spark: SparkSession, *tables: np.ndarray | None):
+    """Bit tables on all executors, packed, and gone from them (and their disks) afterwards."""
+    sent = spark.sparkContext.broadcast([None if t is None else zlib.compress(t.tobytes(), 1) for t in tables])
+    yield lambda: [None if t is None else np.frombuffer(zlib.decompress(t), np.uint8) for t in sent.value]
+    sent.destroy()
+
+
+def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
+    """What is counted in one scan of a shard: words if it is the first, and phrases newly active.
+
+    ``tables`` gives the bit tables of now and of the last scan of the shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, past = shipped.value
+        table, past = tables()
         for batch in batches:
             lang = batch.column(1).dictionary_encode()
             names = lang.dictionary
@@ -179,15 +191,15 @@ def bit_table(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sums(counted: DataFrame, heavy: np.ndarray, share: int, least: int) -> DataFrame:
-    """(k, a, b, n) of all phrases counted ``least`` times or more, given those with ``share`` in one scan."""
-    shipped = counted.sparkSession.sparkContext.broadcast(heavy)
+def _sums(counted: DataFrame, heavy, share: int, least: int) -> DataFrame:
+    """(k, a, b, n) of all phrases counted ``least`` times or more, given the bit table of those with ``share`` in one scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (table,) = heavy()
         for batch in batches:
             often = batch.column(3).to_numpy(zero_copy_only=False) >= share
             rest = np.flatnonzero(~often)
-            often[rest] = hits(shipped.value, _ids(batch)[rest])
+            often[rest] = hits(table, _ids(batch)[rest])
             yield batch.filter(pa.array(often))
 
     some = counted.select("k", "a", "b", "n").mapInArrow(run, "k int, a long, b long, n long")
@@ -219,15 +231,18 @@ def count_phrases(df: DataFrame, text: str, lang: str, least: int = LEAST, longe
     while len(scans) < shards or (reached[-1] != reached[-1 - shards]).any():
         visit = len(scans)
         shard = circle.filter(F.col("shard") == visit % shards).select("text", "lang")
-        counted = _scan(shard, reached[-1], reached[-1 - shards] if visit >= shards else None, longest, salt)
-        scans.append(written(counted.groupBy("k", "a", "b", "lang", "word").agg(F.sum("n").alias("n")), "counts"))
+        with _shipped(spark, reached[-1], reached[-1 - shards] if visit >= shards else None) as tables:
+            counted = _scan(shard, tables, longest, salt)
+            scans.append(written(counted.groupBy("k", "a", "b", "lang", "word").agg(F.sum("n").alias("n")), "counts"))
         heavy |= bit_table(scans[-1].filter(F.col("n") >= share))
         every = reduce(DataFrame.unionByName, scans)
-        reached = [*reached[-shards:], bit_table(_sums(every.filter(F.col("k") < longest), heavy, share, least))]
+        with _shipped(spark, heavy) as tables:
+            reached = [*reached[-shards:], bit_table(_sums(every.filter(F.col("k") < longest), tables, share, least))]
 
     every = reduce(DataFrame.unionByName, scans)
     words = written(every.filter("k = 1").groupBy("a", "b", "lang", "word").agg(F.sum("n").alias("n")).select(F.col("a").alias("id"), "lang", "word", "n"), "words")
-    phrases = written(_with_id(_sums(every.filter("k > 1"), heavy, share, least)), "phrases")
+    with _shipped(spark, heavy) as tables:
+        phrases = written(_with_id(_sums(every.filter("k > 1"), tables, share, least)), "phrases")
     if words.groupBy("id").count().filter("count > 1").limit(1).count() or phrases.groupBy("id").count().filter("count > 1").limit(1).count():
         return count_phrases(df, text, lang, least, longest, shards, salt + 1)
     return words, phrases

@@ -97,10 +97,10 @@ def test_equal_hashes_of_words_start_afresh(spark, monkeypatch):
 
     scan = co._scan
 
-    def noted(shard, now, before, longest, salt):
+    def noted(shard, tables, longest, salt):
         salts.append(salt)
         monkeypatch.setattr(co, "words_of", clashing if salt == 0 else plain)
-        return scan(shard, now, before, longest, salt)
+        return scan(shard, tables, longest, salt)
 
     monkeypatch.setattr(co, "_scan", noted)
     rows = corpus(9, 40)
