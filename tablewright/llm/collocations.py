@@ -15,7 +15,9 @@ An exact threshold on the sums ends the work.
 
 A phrase that reaches ``LEAST`` within a cycle has a shard with ``LEAST / SHARDS`` of them. Sums are
 therefore made only for phrases with such a shard (again by a bit table); all others, most of the
-rows, are never shuffled a second time.
+rows, are never shuffled a second time. Within a cycle a stop adds up the shards with so many alone,
+which may activate a phrase late but never wrongly; at the end of a cycle the sums are exact. A phrase of
+k words is active by the end of cycle k - 1, so at the end of cycle k all of its length are complete.
 
 Words are known by 64-bit hashes that contain the language, phrases by the pair of their beginning
 and their end. All counted words are checked for two with one hash; if there were any, the work is
@@ -43,7 +45,7 @@ from tablewright.llm.common import BASE, BLOCK, SALT, blocks, mixed, raw, span_h
 from tablewright.session import scratch_path
 
 #: Occurrences of a candidate, words of the longest one, shards of the circle, phrases reported of a language.
-LEAST, LONGEST, SHARDS, TOP = 30, 4, 3, 2000
+LEAST, LONGEST, SHARDS, TOP = 30, 4, 2, 2000
 #: A phrase goes if a longer one around it has this many hundredths of its occurrences.
 COVERED = 80
 #: Size of the bit tables: 8 MB each, at every size of the corpus.
@@ -228,16 +230,24 @@ def count_phrases(df: DataFrame, text: str, lang: str, least: int = LEAST, longe
     share = -(-least // shards)
     empty = np.zeros(1 << (BITS - 3), np.uint8)
     heavy, reached, scans = empty.copy(), [empty], []
-    while len(scans) < shards or (reached[-1] != reached[-1 - shards]).any():
+    # It ends with a cycle, since only then all sums are exact.
+    while len(scans) % shards or not scans or (reached[-1] != reached[-1 - shards]).any():
         visit = len(scans)
         shard = circle.filter(F.col("shard") == visit % shards).select("text", "lang")
         with _shipped(spark, reached[-1], reached[-1 - shards] if visit >= shards else None) as tables:
             counted = _scan(shard, tables, longest, salt)
             scans.append(written(counted.groupBy("k", "a", "b", "lang", "word").agg(F.sum("n").alias("n")), "counts"))
         heavy |= bit_table(scans[-1].filter(F.col("n") >= share))
-        every = reduce(DataFrame.unionByName, scans)
-        with _shipped(spark, heavy) as tables:
-            reached = [*reached[-shards:], bit_table(_sums(every.filter(F.col("k") < longest), tables, share, least))]
+        # Lengths up to the number of full cycles so far are complete, and were looked up when they became so.
+        done, open_ = divmod(visit + 1, shards)
+        every = reduce(DataFrame.unionByName, scans).filter((F.col("k") < longest) & (F.col("k") >= (done if open_ == 0 else done + 1)))
+        if open_:
+            often = every.filter(F.col("n") >= share).groupBy("k", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            found = bit_table(often)
+        else:
+            with _shipped(spark, heavy) as tables:
+                found = bit_table(_sums(every, tables, share, least))
+        reached = [*reached[-shards:], reached[-1] | found]
 
     every = reduce(DataFrame.unionByName, scans)
     words = written(every.filter("k = 1").groupBy("a", "b", "lang", "word").agg(F.sum("n").alias("n")).select(F.col("a").alias("id"), "lang", "word", "n"), "words")
