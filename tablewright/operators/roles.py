@@ -64,7 +64,7 @@ def any_in_range(col: Column, low: float = UNIX_RANGE[0], high: float = UNIX_RAN
     return F.coalesce(F.bool_or(col.between(F.lit(low), F.lit(high))), F.lit(False))
 
 
-def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str] = (), sample: float | None = None) -> ColumnRoles:
+def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str] = ()) -> ColumnRoles:
     """Roles of all columns, from one pass over the table and at most one more.
 
     ``general``: any date layout; Unix seconds count as dates if the name says "time";
@@ -72,16 +72,13 @@ def classify_columns(df: DataFrame, mode: str = "general", target: Sequence[str]
     are categories. ``strict``: only the "month day, year" layout, the limit for numbers
     is 4, the target is left out, all text is short text.
 
-    The whole column is judged; ``sample`` judges a fraction of the rows instead. The
-    distinct counts are sketched first and counted exactly only near the limit, so no
+    The whole column is judged. The distinct counts are sketched first and counted exactly only near the limit, so no
     near-unique column is ever shuffled.
     """
     if mode not in ("general", "strict"):
         raise ValueError(f"mode {mode!r} is neither general nor strict")
     strict = mode == "strict"
     table = stringify_columns(df.select(*[c for c in df.columns if c not in target]))
-    if sample is not None:
-        table = table.sample(fraction=sample, seed=42)
     kinds = {f.name: f.dataType for f in table.schema}
     fixed = {}
     aggs = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.feature import StandardScaler as VectorScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import vectors, words
+from tablewright.operators.ranking import dense_codes
 from tablewright.session import checkpoint
 
 logger = logging.getLogger(__name__)
@@ -39,6 +41,7 @@ HASH_BUCKETS = 100
 COMPONENTS = 100
 EMBEDDING_SIZE = 384
 SHIPPED_TERMS, SHIPPED_BYTES = 1_000_000, 64 << 20  # a vocabulary that may travel to every task
+RARE, SALTS = 1000, 32  # a term in more than one row of so many is a hot key; parts that such a key is spread over
 
 
 # --- term weights --------------------------------------------------------------------
@@ -113,18 +116,19 @@ class TfidfVectorizer(Estimator):
 
     A limited vocabulary is chosen by frequency with alphabetical ties, so it does not
     depend on partitioning. Without a limit all terms are taken. A vocabulary that not every
-    task can hold raises; ``tfidf_terms`` has no such bound.
+    task can hold stays a table: its terms are numbered there, and vectors are put together from
+    joined pairs (``JoinedTfidfModel``), so it may have any size.
     """
 
     def __init__(self, column: str, size: int | None = None):
         super().__init__()
         self.column, self.size = column, size
 
-    def _fit(self, df: DataFrame) -> TfidfModel:
+    def _fit(self, df: DataFrame) -> TfidfModel | JoinedTfidfModel:
         source, count = f"__{self.column}_terms", f"__{self.column}_tf"
         terms = checkpoint(vocabulary(term_counts(df, [], self.column), df.count(), self.size).select("term", "idf"))
         if not _shippable(terms):
-            raise ValueError(f"the vocabulary of {self.column!r} is too large for vectors; limit it, or use tfidf_terms")
+            return JoinedTfidfModel(self.column, terms)
         held = terms.count()
         if not held:
             raise ValueError(f"column {self.column!r} holds no term")
@@ -157,6 +161,49 @@ class TfidfModel(Model):
         return out.drop(f"__{c}_terms", f"__{c}_tf", f"__{c}_w")
 
 
+class JoinedTfidfModel(Model):
+    """The vectors of ``TfidfModel`` with a vocabulary that no task holds.
+
+    The pairs (row, term) are joined with the numbered vocabulary. Terms that stand in more than one
+    row of ``RARE`` would each be one hot key of that join: there can be few of them, and they
+    travel to the tasks, up to ``SHIPPED_TERMS`` and ``SHIPPED_BYTES``; any others are spread by a
+    second, salted key. A row's pairs meet again in one vector, bounded by the row's own terms.
+    """
+
+    def __init__(self, column: str, terms: DataFrame):
+        super().__init__()
+        self.column = column
+        codes = dense_codes(terms, "term")
+        self.terms = checkpoint(terms.join(codes.withColumnRenamed("value", "term"), "term").select("term", "idf", "code"))
+        self.size = self.terms.count()
+
+    @property
+    def output(self) -> str:
+        return f"{self.column}_tfidf"
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        # Written once, so that the numbers of the rows do not change between the two uses.
+        rows = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
+        pairs = term_counts(rows, "__row", self.column).withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+        # A term's idf is lower the more rows hold it: ln((1 + rows) / (1 + df)) + 1.
+        hot = F.col("idf") < math.log(RARE) + 1
+        frequent, rare = self.terms.filter(hot), self.terms.filter(~hot)
+        if _shippable(frequent):
+            parts = [pairs.join(F.broadcast(frequent), "term"), pairs.join(F.broadcast(frequent), "term", "left_anti").join(rare, "term")]
+        else:
+            copies = frequent.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+            parts = [pairs.join(copies, ["term", "salt"]), pairs.join(rare, "term")]
+        weighed = [x.select("__row", F.struct(F.col("code").cast("int").alias("code"), (F.col("tf") * F.col("idf")).alias("w")).alias("pair")) for x in parts]
+        held = weighed[0].unionByName(weighed[1]).groupBy("__row").agg(F.array_sort(F.collect_list("pair")).alias("__pairs"))
+        length = F.sqrt(F.aggregate("__pairs", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+        unit = held.withColumn("__length", length).select("__row", F.col("__pairs.code").alias("__codes"), F.transform("__pairs", lambda x: x["w"] / F.col("__length")).alias("__weights"))
+        size = self.size
+        # One call a row: no expression makes a sparse vector from arrays.
+        vector = F.udf(lambda codes, weights: Vectors.sparse(size, codes or [], weights or []), VectorUDT())
+        joined = rows.join(unit, "__row", "left").withColumn(self.output, vector("__codes", "__weights"))
+        return joined.drop("__row", "__codes", "__weights")
+
+
 def _term_column(column: str) -> Column:
     return F.coalesce(words.terms(F.col(column)), F.array().cast("array<string>"))
 

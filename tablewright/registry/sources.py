@@ -128,9 +128,9 @@ def read_gzip(t):
     return files.read_gzip(t.spark, path, "event_id bigint, event_type string, value double", partitions=8)
 
 
-@query("read_parquet", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+@query("read_parquet", "SELECT l_orderkey, l_quantity FROM lineitem")
 def read_parquet(t):
-    return files.read_parquet(t.spark, t.path("lineitem")).filter("l_quantity > 45").select("l_orderkey", "l_quantity")
+    return files.read_parquet(t.spark, t.path("lineitem")).select("l_orderkey", "l_quantity")
 
 
 def _write_records(df: DataFrame, folder: str) -> int:
@@ -239,11 +239,11 @@ def recipe_librarything(t):
 
 @query(
     "recipe_steam",
-    """WITH g AS (SELECT p_partkey::VARCHAR AS item_id, p_name AS title FROM part WHERE p_partkey % 2 = 0),
+    """WITH g AS (SELECT (p_partkey + 50)::VARCHAR AS item_id, p_name AS title FROM part),
             i AS (SELECT o_custkey::VARCHAR AS user_id, l_partkey::VARCHAR AS item_id, l_quantity::BIGINT AS playtime_forever,
                          o_orderkey::VARCHAR AS user_url FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
             r AS (SELECT o_custkey::VARCHAR AS user_id, l_partkey::VARCHAR AS item_id, l_returnflag AS review,
-                         o_orderkey::VARCHAR AS user_url FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45)
+                         CASE WHEN o_orderpriority = '1-URGENT' THEN 'none' ELSE o_orderkey::VARCHAR END AS user_url FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
        SELECT i.user_id, i.user_url, i.item_id, i.playtime_forever, r.review, g.title
        FROM i LEFT JOIN r ON r.user_id = i.user_id AND r.user_url = i.user_url AND r.item_id = i.item_id
               LEFT JOIN g ON g.item_id = i.item_id""",
@@ -261,8 +261,10 @@ def recipe_steam(t):
     item = F.struct(text("l_partkey").alias("item_id"), F.lit("x").alias("item_name"), F.col("l_quantity").cast("bigint").alias("playtime_forever"))
     save(sold.groupBy(*owner).agg(F.collect_list(item).alias("items")), "australian_users_items")
     review = F.struct(text("l_partkey").alias("item_id"), F.col("l_returnflag").alias("review"))
-    save(sold.filter("l_quantity > 45").groupBy(*owner).agg(F.collect_list(review).alias("reviews")), "australian_user_reviews")
-    save(t.part.filter("p_partkey % 2 = 0").select(text("p_partkey").alias("id"), F.col("p_name").alias("title")), "steam_games")
+    # All rows are written; shifted keys leave some without a partner on either side.
+    elsewhere = [owner[0], F.when(F.col("o_orderpriority") == "1-URGENT", "none").otherwise(text("o_orderkey")).alias("user_url")]
+    save(sold.groupBy(*elsewhere).agg(F.collect_list(review).alias("reviews")), "australian_user_reviews")
+    save(t.part.select((F.col("p_partkey") + 50).cast("string").alias("id"), F.col("p_name").alias("title")), "steam_games")
     bundles = t.supplier.select(text("s_suppkey").alias("bundle_id"), F.array(F.struct(F.concat(F.lit("none"), text("s_suppkey")).alias("item_id"))).alias("items"))
     save(bundles, "bundle_data")
     return integrate(t.spark, "steam", root).select("user_id", "user_url", "item_id", "playtime_forever", "review", "title")

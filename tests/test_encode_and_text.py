@@ -221,3 +221,20 @@ def test_frequency_indices_of_many_values_agree_with_the_indexer(spark):
     assert sorted((r.c or "", r.c_index) for r in joined[0].collect()) == sorted((r.c or "", r.c_index) for r in shipped[0].collect())
     with pytest.raises(ValueError, match="classes"):
         encode.label_index(df, "c", "label", limit=2)
+
+
+def test_vectors_of_a_vocabulary_beyond_the_bound(spark, monkeypatch):
+    """Joined vectors agree with the long form; hot terms travel or, beyond the bound again, are salted."""
+    rows = [(k, f"every row {'often ' * (k % 3)}word{k} word{k % 40}" if k % 10 else ["", None][k % 20 // 10]) for k in range(200)] + [(7, "every row")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    usual = text.TfidfVectorizer("t").fit(df)
+    want = sorted((r.id, sorted(round(float(x), 9) for x in r.t_tfidf.values)) for r in usual.transform(df).collect())
+    for terms in (3, 0):
+        monkeypatch.setattr(text, "SHIPPED_TERMS", terms)
+        model = text.TfidfVectorizer("t").fit(df)
+        assert isinstance(model, text.JoinedTfidfModel)
+        out = model.transform(df)
+        got = out.collect()
+        assert out.columns == ["id", "t", "t_tfidf"]
+        assert sorted((r.id, sorted(round(float(x), 9) for x in r.t_tfidf.values)) for r in got) == want
+        assert {r.t_tfidf.size for r in got} == {model.size}
