@@ -85,12 +85,27 @@ def test_empty_tables(spark):
     assert find(spark, [(1, "some benchmark item here")], []) == {}
 
 
-def test_items_in_blocks_and_hot_copies(spark, monkeypatch):
-    monkeypatch.setattr(D, "ITEM_BLOCK", 40)
+def test_items_that_stay_in_spark_give_the_same(spark, monkeypatch):
     rng = random.Random(3)
-    items = [(k, prose(25, rng)) for k in range(6)]
-    docs = [(k, items[k % 6][1] + " " + prose(5, rng)) for k in range(120)]
-    assert set(find(spark, docs, items)) == {(k, k % 6) for k in range(120)}
+    items = [(k, prose(rng.randint(3, 40), rng)) for k in range(60)] + [(7, prose(20, rng)), (None, "no id here"), (61, None), (62, "two words")]
+    items += [(63, items[0][1]), (63, items[0][1])]
+    docs = [(1000, None), (1001, ""), (1002, "two words"), (None, items[3][1])]
+    for k in range(200):
+        parts = [edited(items[rng.randrange(60)][1], rng.choice([0, 0.1, 0.3]), rng) for _ in range(rng.randint(0, 3))]
+        docs.append((k, " ".join([prose(20, rng), *parts, prose(rng.randint(0, 100), rng)])))
+    docs += [(2000 + k, items[9][1] + " twice " + items[9][1]) for k in range(120)]
+    docs = [(*d, "x") for d in docs]
+    plain = find(spark, docs, items, ", leaks string")
+    monkeypatch.setattr(D, "ITEM_BLOCK", 40)
+    joined = find(spark, docs, items, ", leaks string")
+    assert joined == plain and len({i for _, i in plain}) > 50
+
+
+def test_empty_tables_with_items_that_stay_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEM_BLOCK", 1)
+    assert find(spark, [], [(1, "some benchmark item here")]) == {}
+    assert find(spark, [(1, "nothing of that kind"), (2, None)], [(1, "some benchmark item here")]) == {}
+    assert set(find(spark, [(1, "Some benchmark item, here")], [(1, "some benchmark item here")])) == {(1, 1)}
 
 
 def test_seeds_are_rare_runs():
