@@ -8,12 +8,15 @@ that has md5.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HASH_BITS = 52
+HALF_STEPS = 6  # of the permutation: each half is mixed three times
+LONGEST_WALK = 64
 
 
 def as_keys(key: str | Sequence[str]) -> list[str]:
@@ -39,3 +42,32 @@ def draw(seed: int, salt: str, bound: int) -> int:
     """A whole number in [0, bound) for choices made once per table, not per row."""
     digest = hashlib.md5(f"{salt}:{seed}".encode()).hexdigest()
     return int(digest[:13], 16) % bound
+
+
+def permuted(index: Column, size: int, salt: str, seed: int) -> Column:
+    """Where a seeded permutation of 0 .. size-1 puts ``index``: distinct places, no sort.
+
+    The numbers are read as cells of a grid just large enough. Its two coordinates are shifted
+    in turn by a hash of the other, which is a permutation of the cells, and a cell beyond
+    ``size`` is sent on until it lands inside. Fewer cells than one row of the grid lie
+    beyond, so more than ``LONGEST_WALK`` of them in a row do not occur.
+    """
+    down = max(math.isqrt(size), 1)
+    across = max(-(-size // down), 1)
+
+    def shift(cell: Column, i: Column) -> Column:
+        a, b = cell["a"], cell["b"]
+        moved = lambda other: hash52(F.concat_ws(":", i.cast("string"), other.cast("string")), salt, seed)
+        turn = F.struct(F.pmod(a + moved(b), F.lit(down)).alias("a"), b.alias("b"))
+        return F.when(i % 2 == 0, turn).otherwise(F.struct(a.alias("a"), F.pmod(b + moved(a), F.lit(across)).alias("b")))
+
+    def once(x: Column) -> Column:
+        b = F.pmod(x, F.lit(across).cast("bigint"))
+        start = F.struct(((x - b) / F.lit(across)).cast("bigint").alias("a"), b.alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(HALF_STEPS - 1)), start, shift, lambda cell: cell["a"] * F.lit(across) + cell["b"])
+
+    beyond = min(down * across - size, LONGEST_WALK)
+    at = once(index.cast("bigint"))
+    if beyond <= 0:
+        return at
+    return F.aggregate(F.sequence(F.lit(1), F.lit(beyond)), at, lambda x, _: F.when(x < F.lit(size), x).otherwise(once(x)))

@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.hashing import as_keys, draw, hash52, u
+from tablewright.functions.hashing import as_keys, draw, hash52, permuted, u
 from tablewright.operators.profile import is_integer_valued
+from tablewright.operators.ranking import dense_codes
 from tablewright.operators.roles import ColumnRoles
 from tablewright.operators.selection import Draw, exact_draws, sample_rows
 
@@ -31,8 +32,9 @@ def insert_duplicates(
 ) -> DataFrame:
     """Repeat ``n`` rows (by default 1 to 10000 by seed, at most all).
 
-    With ``ordinal``, each copy gets a position in [0, rows) by hash in that column, so
-    that sorting by it mixes the copies in. Nothing is sorted here. With ``copy``, that
+    With ``ordinal``, each copy gets a position of its own in [0, rows) in that column, so
+    that sorting by it mixes the copies in: the copies are numbered by hash and the numbers
+    permuted. Only the keys of the copies are sorted. With ``copy``, that
     column tells copies apart: (key, copy) identifies the rows of the result, which the
     next corruption step needs.
     """
@@ -40,8 +42,11 @@ def insert_duplicates(
     copies = df.filter(exact_draws(df, key, [Draw("duplicates", wanted)], seed)["duplicates"])
     if ordinal is not None:
         rows = df.count()
-        place = F.floor(u(key, "position", seed) * F.lit(rows))
-        copies = copies.withColumn(ordinal, place.cast(df.schema[ordinal].dataType))
+        copies = copies.withColumn("__at", F.struct(hash52(key, "duplicates", seed).alias("h"), *as_keys(key)))
+        numbers = dense_codes(copies, "__at").withColumnRenamed("value", "__of")
+        place = permuted(F.col("code"), rows, "position", seed).cast(df.schema[ordinal].dataType)
+        copies = copies.join(numbers, F.col("__at").eqNullSafe(F.col("__of")))
+        copies = copies.withColumn(ordinal, place).select(*df.columns)
     if copy is not None:
         before = F.col(copy) * 2 if copy in df.columns else F.lit(0).cast("bigint")
         df, copies = df.withColumn(copy, before), copies.withColumn(copy, before + 1)

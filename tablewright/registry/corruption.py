@@ -29,6 +29,27 @@ def insert_duplicates(t):
     return corrupt.insert_duplicates(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 700, 2)
 
 
+_MOVED = "CASE WHEN i % 2 = {even} THEN ({own} + {hash}) % {size} ELSE {own} END"
+
+
+@query(
+    "insert_duplicates_mixed",
+    f"""WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*)))::BIGINT AS a FROM orders)),
+        cell(d, x, y, i) AS (
+            SELECT d, d // b, d % b, 0 FROM (SELECT unnest(range(a * b)) AS d, b FROM size)
+            UNION ALL SELECT d, {_MOVED.format(even=0, own='x', hash=h("concat_ws(':', i, y)", 'position', 3), size='a')},
+                             {_MOVED.format(even=1, own='y', hash=h("concat_ws(':', i, x)", 'position', 3), size='b')}, i + 1 FROM cell, size WHERE i < 6),
+        once AS (SELECT d, x * b + y AS e FROM cell, size WHERE i = 6),
+        walk(d, e) AS (SELECT d, e FROM once UNION ALL SELECT walk.d, once.e FROM walk, once, size WHERE walk.e >= n AND once.d = walk.e)
+        SELECT o_orderkey, o_orderkey AS original_order FROM orders
+        UNION ALL SELECT o_orderkey, e FROM {_place('orders', 'o_orderkey', 'duplicates', 3)}, walk WHERE place <= 900 AND d = place - 1 AND e < n_rows""",
+)
+def insert_duplicates_mixed(t):
+    """Copies mixed in between the rows, each at a position of its own."""
+    df = t.orders.select("o_orderkey", F.col("o_orderkey").alias("original_order"))
+    return corrupt.insert_duplicates(df, "o_orderkey", 900, 3, ordinal="original_order")
+
+
 @query("introduce_nulls", with_nulls("customer", "c_custkey", ["c_acctbal", "c_mktsegment"], ["c_custkey", "c_name"], 0.02, 4))
 def introduce_nulls(t):
     df = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")

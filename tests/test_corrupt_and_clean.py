@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tablewright.functions.hashing import permuted
 from tablewright.operators import clean, corrupt
 from tablewright.operators.profile import iqr_bounds
 from tablewright.operators.roles import ColumnRoles
@@ -31,6 +32,24 @@ def test_ordinals_of_copies_are_positions(table):
     df = table.withColumn("original_order", F.col("id"))
     mixed = corrupt.insert_duplicates(df, "id", 100, 1, ordinal="original_order")
     assert mixed.filter("original_order not between 0 and 999").count() == 0 and mixed.count() == 1100
+    every = corrupt.insert_duplicates(df, "id", 1000, 1, ordinal="original_order")
+    # Each position twice: the row that was there and one copy.
+    assert sorted(r[0] for r in every.select("original_order").collect()) == sorted([*range(1000)] * 2) and every.dtypes == df.dtypes
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 99, 101, 1000, 4097])
+def test_permutation_reaches_every_place_once(spark, size):
+    places = [r[0] for r in spark.range(size).select(permuted(F.col("id"), size, "p", 3)).collect()]
+    assert sorted(places) == list(range(size))
+    if size > 50:
+        assert places != sorted(places) and places != [r[0] for r in spark.range(size).select(permuted(F.col("id"), size, "p", 4)).collect()]
+
+
+def test_copies_with_null_and_compound_keys_get_positions(spark):
+    df = spark.createDataFrame([(None, 1, 0), (1, None, 1), (1, 1, 2)], "a int, b int, o int")
+    out = corrupt.insert_duplicates(df, ["a", "b"], 3, 1, ordinal="o")
+    assert out.count() == 6 and sorted(r["o"] for r in out.collect()) == [0, 0, 1, 1, 2, 2]
+    assert corrupt.insert_duplicates(df.limit(0), ["a", "b"], 3, 1, ordinal="o").count() == 0
 
 
 def test_nulls_reach_the_ratio_and_no_further(table):
