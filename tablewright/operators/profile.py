@@ -130,10 +130,7 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def five_number_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Minimum, quartiles and maximum of ``value`` per group (box-plot statistics)."""
-    kind = df.schema[group].dataType
-    found = grouped_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0])
-    schema = T.StructType([T.StructField(group, kind)] + [T.StructField(c, T.DoubleType()) for c in ("min", "q1", "median", "q3", "max")])
-    return small_table(df.sparkSession, [(g, *values) for g, values in found.items()], schema)
+    return grouped_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q1", "median", "q3", "max"])
 
 
 def results_pivot(df: DataFrame, run: str, variant: str, value: Column, variants: Sequence[str]) -> DataFrame:

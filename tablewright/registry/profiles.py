@@ -143,6 +143,17 @@ def five_number_summary(t):
     return df.select("event_type", "min", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "max")
 
 
+@query(
+    "five_number_summary_many",
+    """SELECT l_partkey, min(l_extendedprice) AS "min", round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS median,
+              round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, max(l_extendedprice) AS "max" FROM lineitem GROUP BY l_partkey""",
+)
+def five_number_summary_many(t):
+    """Box-plot statistics of every part: as many groups as parts."""
+    df = profile.five_number_summary(t.lineitem, "l_partkey", "l_extendedprice")
+    return df.select("l_partkey", "min", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "max")
+
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 

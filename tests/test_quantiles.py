@@ -35,8 +35,36 @@ def test_brackets_agree_with_numpy(spark, monkeypatch):
     assert np.allclose(got["b"], np.percentile(tied, [100 * p for p in PROBABILITIES]))
 
 
-def test_groups_are_masked_columns(spark):
+def test_a_hot_group_among_others(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, "hot").when(F.col("id") < 990, "warm").alias("g"), F.col("id").cast("double").alias("x"))
     got = {r["g"]: tuple(r)[1:] for r in five_number_summary(df, "g", "x").collect()}
     assert got["hot"] == (0.0, 174.75, 349.5, 524.25, 699.0)
     assert got[None] == (990.0, 992.25, 994.5, 996.75, 999.0)
+
+
+def test_groups_of_all_sizes_agree_with_numpy(spark):
+    rng = np.random.default_rng(5)
+    data = [("hot", float(v)) for v in rng.normal(size=5000)] + [("tied", 4.0)] * 700 + [("tied", float(v)) for v in rng.integers(0, 9, 300)]
+    data += [(f"g{i % 400}", float(v)) for i, v in enumerate(rng.integers(-50, 50, 2000))] + [("one", 2.5), ("empty", None), (None, 1.0), (None, 3.0), ("hot", None)]
+    names = [f"p{i}" for i in range(len(PROBABILITIES))]
+    df = spark.createDataFrame(data, "g string, x double").repartition(7)
+    got = {r["g"]: tuple(r)[1:] for r in q.grouped_quantiles(df, "g", "x", PROBABILITIES, names).collect()}
+    assert set(got) == {g for g, _ in data}
+    for group, found in got.items():
+        values = [v for g, v in data if g == group and v is not None]
+        if values:
+            assert np.allclose(found, np.percentile(values, [100 * p for p in PROBABILITIES])), group
+        else:
+            assert found == (None,) * len(PROBABILITIES)
+    assert q.grouped_quantiles(df.limit(0), "g", "x", PROBABILITIES, names).count() == 0
+
+
+def test_more_groups_do_not_cost_more_jobs(spark):
+    def jobs(groups):
+        tracker, name = spark.sparkContext.statusTracker(), f"groups-{groups}"
+        spark.sparkContext.setJobGroup(name, name)
+        five_number_summary(spark.range(3000).select((F.col("id") % groups).alias("g"), "id"), "g", "id").count()
+        spark.sparkContext.setJobGroup("", "")
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs(1000) <= jobs(3) + 1
