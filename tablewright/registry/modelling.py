@@ -10,8 +10,8 @@ from tablewright.operators.roles import ColumnRoles
 from tablewright.plans import experiment
 from tablewright.plans.prepare import StepLog, clean
 from tablewright.registry import query
-from tablewright.registry.corruption import damaged_orders
-from tablewright.registry.sql import h, u
+from tablewright.registry.corruption import CHAIN, damaged_orders
+from tablewright.registry.sql import bounds, h, u
 from tablewright.session import small_table
 
 ORDER_ROLES = ColumnRoles(numerical=("o_totalprice",), categorical=("o_orderpriority",), datetime=("o_orderdate",), target=("o_orderstatus",))
@@ -187,9 +187,15 @@ def exp_fraction_sweep(t):
     return _run(t, experiment.fraction_sweep(ORDER_ROLES, **LIGHT))
 
 
-@query("step_timing")
+@query(
+    "step_timing",
+    f"""{CHAIN}, d AS (SELECT DISTINCT o_orderkey, o_custkey, o_totalprice FROM c), {bounds('d', 'o_totalprice', 'fence')}
+        SELECT 'dedupe' AS step, (SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS rows_affected, true AS timed
+        UNION ALL SELECT 'winsorize', count(*), true FROM d, fence WHERE o_totalprice < lo OR o_totalprice > hi""",
+)
 def step_timing(t):
+    """Steps run, rows each of them changed, and that its seconds were taken."""
     log = StepLog()
     roles = ColumnRoles(numerical=("o_totalprice",))
     clean(damaged_orders(t), ["o_orderkey", "copy"], roles, order=("dedupe", "winsorize"), log=log, ignore=["copy"])
-    return log.table(t.spark)
+    return log.table(t.spark).select("step", "rows_affected", (F.col("seconds") > 0).alias("timed"))

@@ -6,7 +6,7 @@ from tablewright.operators.clean import Winsorizer
 from tablewright.operators.encode import CategoricalEncoder, DatetimeEncoder
 from tablewright.operators.roles import ColumnRoles
 from tablewright.plans import experiment
-from tablewright.plans.prepare import StepLog, prepare
+from tablewright.plans.prepare import StepLog, clean, prepare
 from tablewright.streaming import apply_models
 
 ROLES = ColumnRoles(numerical=("x",), categorical=("c",), target=("y",))
@@ -105,6 +105,24 @@ def test_preparation_records_its_steps(spark, table):
     assert out.columns == ["x", "c_even", "c_odd", "y"] and out.filter("x is null").count() == 0 and out.count() == 600
 
 
+def test_logged_steps_run_once(spark, table):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    watched = table.unionByName(table.filter("id = 7")).withColumn("x", F.when(F.col("id") == 3, 1e6).otherwise(F.col("x"))).mapInPandas(seen, table.schema)
+    log = StepLog()
+    out = clean(watched, "id", ROLES, order=("dedupe", "winsorize"), log=log)
+    rows = {r["step"]: (r["rows_affected"], r["seconds"] > 0) for r in log.table(spark).collect()}
+    assert rows == {"dedupe": (1, True), "winsorize": (1, True)} and out.count() == 600
+    assert calls.value == 601
+    with pytest.raises(ValueError, match="unknown"):
+        clean(table, "id", ROLES, order=("polish",))
+
+
 def test_fitted_models_work_on_a_stream(spark, table, tmp_path):
     batch = table.select("id", "x", "c", F.lit("02 28, 2014").alias("d"))
     models = [m.fit(batch) for m in (Winsorizer(["x"]), CategoricalEncoder(["c"]), DatetimeEncoder(["d"]))]
