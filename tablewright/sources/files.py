@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -167,10 +168,37 @@ def _jsonable(value):
     return value.decode("utf-8", "replace") if isinstance(value, bytes) else list(value)
 
 
+# Strings without escapes, and what may stand between them where Python and JSON agree.
+PLAIN_STRING = re.compile(r"""[uU]?(?:'([^'\\\x00\r\n]*)'|"([^"\\\x00\r\n]*)")""")
+BETWEEN = re.compile(r"(?:[ \t\[\]{},:|]+|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|True|False|None)*")
+JSON_ONLY = re.compile("true|false|null|NaN|Infinity")
+CONSTANTS = (("True", "true"), ("False", "false"), ("None", "null"))
+
+
+def literal_to_json(line: str) -> str:
+    """The JSON of a Python literal. Most lines only need their quotes changed, or nothing;
+    whatever is not plainly the same in both languages takes the syntax tree."""
+    # literal_eval reads constants only: nothing in a file is ever executed.
+    line = line.strip()
+    try:
+        if "\\" not in line and not JSON_ONLY.search(line):
+            if "'" not in line:
+                return json.dumps(json.loads(line))
+            parts = PLAIN_STRING.split(line)  # outside, '...', "...", outside, ...
+            outside = "|".join(parts[::3])
+            if outside.count("|") == len(parts) // 3 and BETWEEN.fullmatch(outside):
+                for python, plain in CONSTANTS:
+                    outside = outside.replace(python, plain)
+                strings = [json.dumps(single if single is not None else double) for single, double in zip(parts[1::3], parts[2::3])]
+                return json.dumps(json.loads("".join(x for pair in zip(outside.split("|"), [*strings, ""]) for x in pair)))
+    except ValueError:
+        pass
+    return json.dumps(ast.literal_eval(line), default=_jsonable)
+
+
 @F.pandas_udf(T.StringType())
 def _literal_to_json(lines: pd.Series) -> pd.Series:
-    # literal_eval reads constants only: nothing in a file is ever executed.
-    return lines.map(lambda line: json.dumps(ast.literal_eval(line.strip()), default=_jsonable))
+    return lines.map(literal_to_json)
 
 
 def read_pyliteral_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, partitions: int | None = None, on_error: str = "raise") -> DataFrame:

@@ -1,3 +1,4 @@
+import ast
 import gzip
 import json
 
@@ -222,3 +223,25 @@ def test_csv_is_split_unless_lines_may_break(spark, tmp_path):
     put(tmp_path / "t.csv", 'a,b\n1,"x\ny"\n2,z\n')
     assert rows(files.read_csv(spark, str(tmp_path / "t.csv"), multiline=True)) == [(1, "x\ny"), (2, "z")]
     assert files.read_csv(spark, str(tmp_path / "t.csv")).count() == 3
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "{u'a': 'b', 'n': None, \"k\": [1, 2.5, True]}", "{'a': 'it\\'s'}", "{'a': ('x', 'y'),}", "{'a' 'b': 1}", "{1: 'x'}", '{"a": "it\'s True"}',
+        "{'a': \'\'\'q\'\'\'}", "{'True': -0.0, 'e': 1e5}", "{}", "{'a': 'x', 'a': 'y'}", "{'a|b': 'c|d'}", '{"a": "null"}', '{"a": [1, {"b": "\u00e9"}]}',
+    ],
+)
+def test_quick_literals_are_those_of_the_syntax_tree(line):
+    assert files.literal_to_json(line) == json.dumps(ast.literal_eval(line))
+
+
+@pytest.mark.parametrize("line", ['{"a": true}', '{"a": NaN}', "{'a': null}", "{'a' | 'b'}", "open('x')"])
+def test_what_is_no_literal_raises(line):
+    with pytest.raises((ValueError, SyntaxError)):
+        files.literal_to_json(line)
+
+
+def test_plain_lines_need_no_syntax_tree(monkeypatch):
+    monkeypatch.setattr(files.ast, "literal_eval", None)
+    assert json.loads(files.literal_to_json("{'a': \"it's\", u'b': [None, -1.5]}")) == {"a": "it's", "b": [None, -1.5]}
