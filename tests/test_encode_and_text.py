@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import rows
 from pyspark.ml.feature import StopWordsRemover
@@ -238,3 +240,11 @@ def test_vectors_of_a_vocabulary_beyond_the_bound(spark, monkeypatch):
         assert out.columns == ["id", "t", "t_tfidf"]
         assert sorted((r.id, sorted(round(float(x), 9) for x in r.t_tfidf.values)) for r in got) == want
         assert {r.t_tfidf.size for r in got} == {model.size}
+
+
+def test_terms_are_weighed_in_slices_of_a_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * 3, [], ["b"] * 9, ["c"], None, ["d"] * 2])], names=["key", "terms"])
+    first, second = text._slices(batch, 4)
+    assert first.column(0).to_pylist() + second.column(0).to_pylist() == list(range(6))
+    assert [part.column(1).flatten().to_pylist() for part in (first, second)] == [["a"] * 3 + ["b"] * 9, ["c", "d", "d"]]
+    assert pc.list_parent_indices(second.column(1)).to_pylist() == [0, 2, 2]
