@@ -84,3 +84,20 @@ def test_pop_target_and_null_split(spark):
 def test_prefix_drop_keeps_the_target(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "t int, t_a int, t_label int, total int")
     assert r.drop_prefixed(df, "t").columns == ["t", "total"]
+
+
+def test_rows_with_null_keys_are_dealt_over_many_tasks(spark):
+    left = spark.range(400).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(40).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("b"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        both = r.merge(left, right, "k").withColumn("task", F.spark_partition_id())
+        lacking = [row["n"] for row in both.filter("k IS NULL").groupBy("task").agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(lacking) == 300 * 20 and len(lacking) > 4 and max(lacking) < 300 * 20 / 2
+    assert r.merge(left, right, "k", "left").count() == 300 * 20 + 100 and both.columns[:3] == ["k", "a", "b"]
