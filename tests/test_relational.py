@@ -101,3 +101,12 @@ def test_rows_with_null_keys_are_dealt_over_many_tasks(spark):
             spark.conf.set(k, v)
     assert sum(lacking) == 300 * 20 and len(lacking) > 4 and max(lacking) < 300 * 20 / 2
     assert r.merge(left, right, "k", "left").count() == 300 * 20 + 100 and both.columns[:3] == ["k", "a", "b"]
+
+
+def test_neighbour_lists_take_more_tasks_for_more_edges(spark, monkeypatch):
+    edges = spark.range(200).selectExpr("id % 5 AS a", "id % 40 + 100 AS b")
+    want = sorted(tuple(row) for row in r.undirected_adjacency(edges, "a", "b").selectExpr("user", "concat_ws(',', connections)").collect())
+    monkeypatch.setattr(r, "TASK_EDGES", 10)
+    dealt = r.undirected_adjacency(edges, "a", "b")
+    assert sorted(tuple(row) for row in dealt.selectExpr("user", "concat_ws(',', connections)").collect()) == want
+    assert "REPARTITION_BY_NUM, [plan_id" in dealt._jdf.queryExecution().toString() and ", 40)" in dealt._jdf.queryExecution().toString()
