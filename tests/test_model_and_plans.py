@@ -90,6 +90,23 @@ def test_experiment_scores_every_variant_on_the_same_rows(table):
     assert len(experiment.fraction_sweep(ROLES)) == 10
 
 
+def test_steps_of_an_experiment_run_once_for_all_variants_that_share_them(spark, table):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    damage = (lambda df, keys, seed: df.mapInPandas(seen, df.schema), experiment.nulls(ROLES, 0.1))
+    repair = (experiment.clamp(["x"]), experiment.impute(ROLES, trees=3, depth=2))
+    variants = [experiment.Variant("damaged", damage), experiment.Variant("repaired", damage, repair)]
+    out = experiment.run_experiment(table, "id", "y", variants, ROLES, None, 1, estimator=forest, folds=2)
+    assert [r["variant"] for r in out.collect()] == ["damaged", "repaired"]
+    train, _ = model.train_test_split(table, "id", experiment.TEST_SHARE)
+    assert calls.value == train.count()
+
+
 def test_damage_changes_the_train_side_only(table):
     keys = ["id"]
     out = experiment._apply(table, keys, experiment.variant_matrix(ROLES)[1].corruptions, 7)
