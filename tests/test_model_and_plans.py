@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from tablewright.operators import model
 from tablewright.operators.clean import Winsorizer
 from tablewright.operators.encode import CategoricalEncoder, DatetimeEncoder
 from tablewright.operators.roles import ColumnRoles
+from tablewright.operators.text import model_embedder
 from tablewright.plans import experiment
 from tablewright.plans.prepare import StepLog, clean, prepare
 from tablewright.streaming import apply_models
@@ -53,6 +55,23 @@ def test_fit_and_score_learns(table):
     assert score.search.params["maxDepth"] in (1, 4) and score.search.mean_score <= score.search.best_score
 
 
+def test_a_text_is_embedded_once_where_it_is_fitted_and_once_where_it_is_applied(spark, table):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            calls.add(len(texts))
+            return np.array([[len(x), x.count("a"), x.count("b")] for x in texts], float).reshape(len(texts), 3)
+
+        return encode
+
+    texts = table.select("id", "x", "y", F.concat(F.col("y"), F.repeat(F.lit("a"), (F.col("id") % 7).cast("int"))).alias("t"))
+    train, test = model.train_test_split(texts, "id")
+    score = model.fit_and_score(train, test, "id", ColumnRoles(numerical=("x",), long_text=("t",)), "y", forest(), folds=2, text_components=2, embedder=model_embedder(load))
+    assert score.test_accuracy > 0.95
+    assert calls.value == 2 * train.count() + test.count()
+
+
 def test_baseline_learns(table):
     train, test = model.train_test_split(table.withColumn("t", F.concat(F.col("c"), F.lit(" "), F.col("y"), F.lit("ish"))), "id")
     score = model.rf_pipeline(train, test, "id", ROLES.replace(short_text=("t",)), "y", trees=5, depth=4, folds=3)
