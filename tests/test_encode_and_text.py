@@ -248,3 +248,23 @@ def test_terms_are_weighed_in_slices_of_a_batch():
     assert first.column(0).to_pylist() + second.column(0).to_pylist() == list(range(6))
     assert [part.column(1).flatten().to_pylist() for part in (first, second)] == [["a"] * 3 + ["b"] * 9, ["c", "d", "d"]]
     assert pc.list_parent_indices(second.column(1)).to_pylist() == [0, 2, 2]
+
+
+def test_weights_of_a_joined_vocabulary_take_one_look_at_each_pair(spark, monkeypatch):
+    """Frequent terms are weighed in the row; a row's length is not summed anew for each of its terms."""
+    long = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, long + " aa aa bb"), (2, "aa bb cc"), (3, ""), (4, None), (5, "cc cc aa")], "id long, t string")
+    weigh = lambda: {(r.id, r.term): round(r.weight, 12) for r in text.tfidf_terms(df, "id", "t").collect()}
+    shipped = weigh()
+    for terms in (0, 2, 100):
+        monkeypatch.setattr(text, "SHIPPED_TERMS", terms)
+        assert weigh() == shipped
+        assert "Window" not in text.tfidf_terms(df, "id", "t")._jdf.queryExecution().toString()
+        out = text.TfidfVectorizer("t").fit(df).transform(df)
+        assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.columns == ["id", "t", "t_tfidf"]
+        got = {r.id: sorted(round(float(x), 12) for x in r.t_tfidf.values) for r in out.collect()}
+        assert got == {i: sorted(w for (of, _), w in shipped.items() if of == i) for i in range(1, 6)}
+    monkeypatch.setattr(text, "SHIPPED_TERMS", 2)
+    frequent, others = text._parted(text.vocabulary(text.term_counts(df, "id", "t"), 5).select("term", "idf"))
+    assert {r.term for r in frequent.collect()} == {"aa"} and others.count() == 3002
