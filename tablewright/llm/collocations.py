@@ -1,7 +1,7 @@
 """Collocations by dynamic itemset counting: phrases of 2 to 4 words that occur often and together.
 
-The corpus is written once as ``SHARDS`` shards, which are then scanned in a circle. Words are
-counted from the start. At every stop between two scans the phrases that have reached ``LEAST``
+The corpus is written once as ``SHARDS`` shards of hashed words, which are then scanned in a circle. Words are
+counted as they are hashed. At every stop between two scans the phrases that have reached ``LEAST``
 occurrences so far are looked up, and a longer phrase becomes active as soon as both phrases it
 has less one word (its beginning and its end) have. It is counted from the next shard on, until
 the circle has come round to where it began: one full cycle, after which its count is exact.
@@ -38,6 +38,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,9 @@ SECOND = np.random.Generator(np.random.PCG64(577215)).integers(1, 1 << 63, 256,
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK[[32, 9]] = True
-COUNTS = "k int, a long, b long, lang string, word string, n long"
+#: The corpus has rows of about so many words, if texts are not longer. Phrases are packed in rows of at most so many, and dealt to parts of about so many bytes of text, 64 at least.
+RUN, ROW, PART_BYTES, PARTS = 1 << 13, 1 << 11, 16 << 20, 64
+COUNTS = "part int, k int, a binary, b binary, n binary, lang array<string>, word array<string>"
 
 
 def words_of(texts: pa.Array, langs: np.ndarray):
@@ -109,12 +112,19 @@ def active(h: np.ndarray, piece: np.ndarray, table: np.ndarray, longest: int) ->
         at, ids = first, phrase_id(k, a, b)
 
 
-def tally(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one place of each pair (a, b), how often it occurs); ``key`` is a hash of the pair."""
-    _, place, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    if not ((a[place][inverse] == a) & (b[place][inverse] == b)).all():
-        _, place, n = np.unique(np.column_stack([a, b]), axis=0, return_index=True, return_counts=True)
-    return place, n
+def tally(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each pair (a, b), how often it occurs), in order of ``key``, a hash of the pair."""
+    order = np.argsort(key)
+    one, two, new = a[order], b[order], np.diff(key[order], prepend=0) != 0
+    new[:1] = True
+    if (~new[1:] & ((one[1:] != one[:-1]) | (two[1:] != two[:-1]))).any():
+        order = np.lexsort((b, a, key))
+        one, two, key = a[order], b[order], key[order]
+        new[1:] = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    heads = np.flatnonzero(new)
+    if n is None:
+        return order[heads], np.diff(heads, append=key.size)
+    return order[heads], np.add.reduceat(n[order], heads) if heads.size else n[:0]
 
 
 def _texts(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
@@ -124,9 +134,56 @@ def _texts(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(a.size, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes()))
 
 
-def _rows(k: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, lang: pa.Array | None = None, word: pa.Array | None = None) -> pa.RecordBatch:
-    none = pa.nulls(a.size, pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(a.size, k, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none if lang is None else lang, none if word is None else word, pa.array(n.astype(np.int64))], names=["k", "a", "b", "lang", "word", "n"])
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), cuts.size - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _packed(k: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: int, lang: pa.Array | None = None, word: pa.Array | None = None) -> pa.RecordBatch:
+    """Phrases in order of ``key`` as rows of at most ``ROW`` of one part of the keys."""
+    # Equal steps of the keys, so that parts are runs of them.
+    first = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+    cuts = np.unique(np.concatenate([np.searchsorted(key, first), np.arange(0, key.size, ROW), [key.size]]))
+    part = np.searchsorted(first, key[cuts[:-1]], "right") - 1
+    columns = [pa.array(part.astype(np.int32)), pa.array(np.full(part.size, k, np.int32)), *[_binary(x, cuts) for x in (a, b, n.astype(np.int64))]]
+    for text in (lang, word):
+        columns.append(pa.nulls(part.size, pa.list_(pa.string())) if text is None else pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), text.cast(pa.string())))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "k", "a", "b", "n", "lang", "word"])
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a column of packed ones, and how many each row has."""
+    data, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            chunk = chunk.cast(pa.binary())
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            data.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+            sizes.append(np.diff(ends) // np.dtype(kind).itemsize)
+    return np.concatenate(data).view(kind), np.concatenate(sizes)
+
+
+def _opened(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, a, b, n) of all phrases in packed rows."""
+    a, sizes = _numbers(batch.column("a"), np.uint64)
+    k = np.repeat(batch.column("k").to_numpy(), sizes)
+    return k, a, _numbers(batch.column("b"), np.uint64)[0], _numbers(batch.column("n"), np.int64)[0]
+
+
+def _merged(parts: int):
+    """Sums of the phrases of one part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for k in np.unique(table.column("k").to_numpy()):
+            mine = table.filter(pc.equal(table.column("k"), int(k)))
+            _, a, b, n = _opened(mine)
+            key = a if k == 1 else phrase_id(int(k), a, b)
+            place, n = tally(key, a, b, n)
+            texts = [mine.column(c).combine_chunks().flatten().take(pa.array(place)) if k == 1 else None for c in ("lang", "word")]
+            out.append(_packed(int(k), key[place], a[place], b[place], n, parts, *[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in texts]))
+        return pa.Table.from_batches(out)
+
+    return run
 
 
 @contextmanager
@@ -137,14 +194,22 @@ def _shipped(spark: SparkSession, *tables: np.ndarray | None):
     sent.destroy()
 
 
-def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
-    """What is counted in one scan of a shard: words if it is the first, and phrases newly active.
-
-    ``tables`` gives the bit tables of now and of the last scan of the shard.
-    """
+def _tokenized(rows: DataFrame, shards: int, parts: int, salt: int) -> DataFrame:
+    """The words of (text, lang) as hashes, a run of whole texts a row (k = 0), and counted by block (k = 1), dealt to shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, past = tables()
+        turn, held = TaskContext.get().partitionId(), []
+
+        def counted() -> pa.RecordBatch:
+            h, g, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            at, n = tally(h, h, g, n)
+            texts = [pa.concat_arrays([x[i] for x in held]).take(pa.array(at)) for i in (3, 4)]
+            held.clear()
+            return _packed(1, h[at], h[at], g[at], n, parts, *texts)
+
+        def dealt(out: pa.RecordBatch) -> pa.RecordBatch:
+            return out.append_column("shard", pa.array(np.full(out.num_rows, turn % shards, np.int32)))
+
         for batch in batches:
             lang = batch.column(1).dictionary_encode()
             names = lang.dictionary
@@ -153,10 +218,42 @@ def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
             for first, part in blocks(strings(batch.column(0)), 3 * BLOCK):
                 mine = of_text[first : first + len(part)]
                 start, end, h, g, piece, owner, data = words_of(part, codes[mine])
-                if past is None:
-                    at, n = tally(h, h, g)
-                    if at.size:
-                        yield _rows(1, h[at], g[at], n, names.take(pa.array(mine[owner[at]])), _texts(data, start[at], end[at]))
+                if not h.size:
+                    continue
+                at, n = tally(h, h, g)
+                held.append((h[at], g[at], n, names.take(pa.array(mine[owner[at]])), _texts(data, start[at], end[at])))
+                texts = np.flatnonzero(np.diff(owner)) + 1
+                cuts = np.concatenate([[0], texts[np.diff(texts // RUN, prepend=0) > 0], [h.size]])
+                none = pa.nulls(cuts.size - 1, pa.list_(pa.string()))
+                zero = pa.array(np.zeros(cuts.size - 1, np.int32))
+                heads = _binary((np.diff(piece, prepend=-1) != 0).astype(np.uint8), cuts)
+                yield dealt(pa.RecordBatch.from_arrays([zero, zero, _binary(h, cuts), heads, pa.nulls(cuts.size - 1, pa.binary()), none, none], names=["part", "k", "a", "b", "n", "lang", "word"]))
+                # Words of many blocks are counted together, and go with them to one shard.
+                if sum(x[0].size for x in held) >= BLOCK:
+                    yield dealt(counted())
+                    turn += 1
+        if held:
+            yield dealt(counted())
+
+    return rows.mapInArrow(run, COUNTS + ", shard int")
+
+
+def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
+    """What is counted in one scan of a shard (of words hashed with ``salt``): phrases newly active.
+
+    ``tables`` gives the bit tables of now and of the last scan of the shard. Most phrases occur once in a block: they
+    are packed, some hundred or thousand in a row, and summed by ``_merged``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, past = tables()
+        for whole in batches:
+            sizes = _numbers(whole.column("a"), np.uint64)[1]
+            steps = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK, prepend=-1))
+            for first, last in zip(steps, [*steps[1:], whole.num_rows]):
+                batch = whole.slice(first, last - first)
+                parts = batch.column("parts")[0].as_py()
+                h, piece = _numbers(batch.column("a"), np.uint64)[0], np.cumsum(_numbers(batch.column("b"), np.uint8)[0], dtype=np.int64)
                 old = active(h, piece, past, longest) if past is not None else iter([(0, np.zeros(0, np.int64))] * longest)
                 for (k, at, a, b), (_, done, *_) in zip(active(h, piece, table, longest), old, strict=False):
                     if done.size:
@@ -165,8 +262,9 @@ def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
                         new = new[at]
                         a, b = a[new], b[new]
                     if a.size:
-                        place, n = tally(phrase_id(k, a, b), a, b)
-                        yield _rows(k, a[place], b[place], n)
+                        key = phrase_id(k, a, b)
+                        place, n = tally(key, a, b)
+                        yield _packed(k, key[place], a[place], b[place], n, parts)
 
     return shard.mapInArrow(run, COUNTS)
 
@@ -193,19 +291,34 @@ def bit_table(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _sums(counted: DataFrame, heavy, share: int, least: int) -> DataFrame:
-    """(k, a, b, n) of all phrases counted ``least`` times or more, given the bit table of those with ``share`` in one scan."""
+def _loose(counted: DataFrame, tables, share: int) -> DataFrame:
+    """(k, a, b, n) of the packed phrases with ``share`` in a scan, or in the bit table if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table,) = heavy()
+        (table,) = tables() if tables else (None,)
         for batch in batches:
-            often = batch.column(3).to_numpy(zero_copy_only=False) >= share
-            rest = np.flatnonzero(~often)
-            often[rest] = hits(table, _ids(batch)[rest])
-            yield batch.filter(pa.array(often))
+            k, a, b, n = _opened(batch)
+            often = n >= share
+            if table is not None:
+                rest = np.flatnonzero(~often)
+                often[rest] = hits(table, np.where(k[rest] == 1, a[rest], mixed(a[rest] * np.uint64(BASE) + b[rest] + k[rest].astype(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(k[often]), pa.array(a[often].view(np.int64)), pa.array(b[often].view(np.int64)), pa.array(n[often])], names=["k", "a", "b", "n"])
 
-    some = counted.select("k", "a", "b", "n").mapInArrow(run, "k int, a long, b long, n long")
-    return some.groupBy("k", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return counted.select("k", "a", "b", "n").mapInArrow(run, "k int, a long, b long, n long")
+
+
+def _words(counted: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, a, b, n = _opened(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("lang").flatten(), batch.column("word").flatten(), pa.array(n)], names=["a", "b", "lang", "word", "n"])
+
+    return counted.filter("k = 1").mapInArrow(run, "a long, b long, lang string, word string, n long")
+
+
+def _sums(counted: DataFrame, heavy, share: int, least: int) -> DataFrame:
+    """(k, a, b, n) of all phrases counted ``least`` times or more, given the bit table of those with ``share`` in one scan."""
+    return _loose(counted, heavy, share).groupBy("k", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
@@ -222,37 +335,47 @@ def count_phrases(df: DataFrame, text: str, lang: str, least: int = LEAST, longe
     ``a`` and ``b`` are the ids of a phrase without its last and without its first word.
     """
     spark: SparkSession = df.sparkSession
-    source = scratch_path(spark, "shards")
     rows = df.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
-    rows.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")).write.partitionBy("shard").parquet(source)
-    circle = spark.read.schema("text string, lang string, shard int").parquet(source)
+    parts = max(PARTS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shards // PART_BYTES)
+    source = scratch_path(spark, "shards")
+    _tokenized(rows, shards, parts, salt).write.partitionBy("shard").parquet(source)
+    circle = spark.read.schema(COUNTS + ", shard int").parquet(source)
 
     share = -(-least // shards)
     empty = np.zeros(1 << (BITS - 3), np.uint8)
     heavy, reached, scans = empty.copy(), [empty], []
+    # Few phrases have the share in a scan: these are kept apart, for the bits and for stops within a cycle.
+    often, exact = [], []
     # It ends with a cycle, since only then all sums are exact.
     while len(scans) % shards or not scans or (reached[-1] != reached[-1 - shards]).any():
         visit = len(scans)
-        shard = circle.filter(F.col("shard") == visit % shards).select("text", "lang")
+        shard = circle.filter(F.col("shard") == visit % shards).drop("shard")
+        corpus = shard.filter("k = 0").select("a", "b", F.lit(parts).alias("parts"))
         with _shipped(spark, reached[-1], reached[-1 - shards] if visit >= shards else None) as tables:
-            counted = _scan(shard, tables, longest, salt)
-            scans.append(written(counted.groupBy("k", "a", "b", "lang", "word").agg(F.sum("n").alias("n")), "counts"))
-        heavy |= bit_table(scans[-1].filter(F.col("n") >= share))
+            counted = _scan(corpus, tables, longest, salt)
+            if visit < shards:
+                counted = shard.filter("k = 1").unionByName(counted)
+            scans.append(written(counted.groupBy("part").applyInArrow(_merged(parts), COUNTS), "counts"))
+        often.append(written(_loose(scans[-1], None, share), "often"))
+        heavy |= bit_table(often[-1])
         # Lengths up to the number of full cycles so far are complete, and were looked up when they became so.
         done, open_ = divmod(visit + 1, shards)
-        every = reduce(DataFrame.unionByName, scans).filter((F.col("k") < longest) & (F.col("k") >= (done if open_ == 0 else done + 1)))
+        lengths = (F.col("k") < longest) & (F.col("k") >= (done if open_ == 0 else done + 1))
         if open_:
-            often = every.filter(F.col("n") >= share).groupBy("k", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-            found = bit_table(often)
+            found = bit_table(reduce(DataFrame.unionByName, often).filter(lengths).groupBy("k", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
         else:
             with _shipped(spark, heavy) as tables:
-                found = bit_table(_sums(every, tables, share, least))
+                sums = written(_sums(reduce(DataFrame.unionByName, scans).filter(lengths), tables, share, least), "sums")
+            if 1 < done < longest:
+                exact.append(sums.filter(F.col("k") == done))
+            found = bit_table(sums)
         reached = [*reached[-shards:], reached[-1] | found]
 
     every = reduce(DataFrame.unionByName, scans)
-    words = written(every.filter("k = 1").groupBy("a", "b", "lang", "word").agg(F.sum("n").alias("n")).select(F.col("a").alias("id"), "lang", "word", "n"), "words")
+    words = written(_words(every).groupBy("a", "b", "lang", "word").agg(F.sum("n").alias("n")).select(F.col("a").alias("id"), "lang", "word", "n"), "words")
     with _shipped(spark, heavy) as tables:
-        phrases = written(_with_id(_sums(every.filter("k > 1"), tables, share, least)), "phrases")
+        rest = _sums(every.filter(F.col("k") > 1 + len(exact)), tables, share, least)
+        phrases = written(_with_id(reduce(DataFrame.unionByName, exact, rest)), "phrases")
     if words.groupBy("id").count().filter("count > 1").limit(1).count() or phrases.groupBy("id").count().filter("count > 1").limit(1).count():
         return count_phrases(df, text, lang, least, longest, shards, salt + 1)
     return words, phrases

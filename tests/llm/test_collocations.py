@@ -107,3 +107,49 @@ def test_equal_hashes_of_words_start_afresh(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     co.mine_phrases(df, "text", "lang", least=6)
     assert 0 in salts
+
+
+def test_words_that_clash_when_hashed_are_hashed_again(spark, monkeypatch):
+    plain, tokenized, salts = co.words_of, co._tokenized, []
+
+    def clashing(texts, langs):
+        start, end, h, g, *rest = plain(texts, langs)
+        return start, end, np.where(np.isin(end - start, [3, 5]), np.uint64(7), h), g, *rest
+
+    def noted(rows, shards, parts, salt):
+        salts.append(salt)
+        monkeypatch.setattr(co, "words_of", plain if salt else clashing)
+        return tokenized(rows, shards, parts, salt)
+
+    monkeypatch.setattr(co, "_tokenized", noted)
+    rows = corpus(9, 40)
+    got = co.mine_phrases(spark.createDataFrame(rows, SCHEMA), "text", "lang", least=6)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 6, 4, 2000) and salts == [0, 1]
+
+
+def test_runs_of_few_words_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(co, "RUN", 5)
+    monkeypatch.setattr(co, "BLOCK", 100)
+    rows = corpus(10, 120)
+    got = co.mine_phrases(spark.createDataFrame(rows, SCHEMA).repartition(3), "text", "lang", least=5)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 4, 2000)
+
+
+def test_packed_phrases_are_summed_by_part():
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, 9, 9000).astype(np.uint64) << np.uint64(60) for _ in range(2))
+    blocks = []
+    for some in np.array_split(np.arange(a.size), 3):
+        key = co.phrase_id(2, a[some], b[some])
+        place, n = co.tally(key, a[some], b[some])
+        blocks.append(co._packed(2, key[place], a[some][place], b[some][place], n, 7))
+    whole = co.pa.Table.from_batches(blocks)
+    got = {}
+    for part in range(7):
+        mine = whole.filter(co.pc.equal(whole.column("part"), part))
+        if mine.num_rows:
+            for k, x, y, n in zip(*co._opened(co._merged(7)(mine))):
+                assert k == 2 and (x, y) not in got
+                got[x, y] = n
+    pairs, n = np.unique(np.column_stack([a, b]), axis=0, return_counts=True)
+    assert got == {(x, y): c for (x, y), c in zip(pairs, n)}
