@@ -57,8 +57,8 @@ SECOND = np.random.Generator(np.random.PCG64(577215)).integers(1, 1 << 63, 256,
 BREAK, BLANK = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 BLANK[[32, 9]] = True
-#: The corpus has rows of about so many words, if texts are not longer. Phrases are packed in rows of at most so many, and dealt to parts of about so many bytes of text, 64 at least.
-RUN, ROW, PART_BYTES, PARTS = 1 << 13, 1 << 11, 16 << 20, 64
+#: The corpus has rows of about so many words, if texts are not longer: an Arrow batch has 1,024 rows, and is held by JVM and Python. Phrases are packed in rows of at most so many, and dealt to parts of about so many bytes of text, 64 at least.
+RUN, ROW, PART_BYTES, PARTS = 1 << 11, 1 << 9, 16 << 20, 64
 COUNTS = "part int, k int, a binary, b binary, n binary, lang array<string>, word array<string>"
 
 
@@ -229,7 +229,7 @@ def _tokenized(rows: DataFrame, shards: int, parts: int, salt: int) -> DataFrame
                 heads = _binary((np.diff(piece, prepend=-1) != 0).astype(np.uint8), cuts)
                 yield dealt(pa.RecordBatch.from_arrays([zero, zero, _binary(h, cuts), heads, pa.nulls(cuts.size - 1, pa.binary()), none, none], names=["part", "k", "a", "b", "n", "lang", "word"]))
                 # Words of many blocks are counted together, and go with them to one shard.
-                if sum(x[0].size for x in held) >= BLOCK:
+                if sum(x[0].size for x in held) >= BLOCK >> 1:
                     yield dealt(counted())
                     turn += 1
         if held:
@@ -249,7 +249,7 @@ def _scan(shard: DataFrame, tables, longest: int, salt: int) -> DataFrame:
         table, past = tables()
         for whole in batches:
             sizes = _numbers(whole.column("a"), np.uint64)[1]
-            steps = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK, prepend=-1))
+            steps = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // (BLOCK >> 1), prepend=-1))
             for first, last in zip(steps, [*steps[1:], whole.num_rows]):
                 batch = whole.slice(first, last - first)
                 parts = batch.column("parts")[0].as_py()
