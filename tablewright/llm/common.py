@@ -61,23 +61,31 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
-def sample_texts(df: DataFrame, key: str, text: str, most: int, size: int | None = None) -> pa.Array:
-    """At most ``most`` texts of ``size`` bytes together, the first by hash of key and text; the driver gets few more.
-
-    For training only. A share of the hash range that holds about one and a half times as many
-    rows (or bytes) is cut out first, so what each partition sends shrinks as the table grows.
-    """
+def sample_rows(df: DataFrame, key: str, text: str, most: int, size: int | None = None) -> DataFrame:
+    """``spread`` (hash of key and text) and text of at most ``most`` rows, the first by both; see ``sample_texts``."""
     spread = F.xxhash64(F.col(key), F.col(text))
     rows = df.filter(F.col(text).isNotNull())
     total, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     share = min(1.5 * most / max(total, 1), 1.5 * size / max(held, 1) if size else 1.0)
     if share < 0.75:
         rows = rows.filter(spread < F.lit(int((2 * share - 1) * (1 << 63))))
-    texts = [r[0] for r in rows.orderBy(spread, text).select(text).limit(most).collect()]
-    if size:
-        ends = np.cumsum([len(t.encode()) for t in texts])
-        texts = texts[: int(np.searchsorted(ends, size, "right"))] or texts[:1]
-    return pa.array(texts, pa.large_string())
+    return rows.select(spread.alias("spread"), F.col(text).alias("text")).orderBy("spread", "text").limit(most)
+
+
+def within(texts: list[str], size: int) -> list[str]:
+    """The first texts, of ``size`` bytes together; one at least."""
+    ends = np.cumsum([len(t.encode()) for t in texts])
+    return texts[: int(np.searchsorted(ends, size, "right"))] or texts[:1]
+
+
+def sample_texts(df: DataFrame, key: str, text: str, most: int, size: int | None = None) -> pa.Array:
+    """At most ``most`` texts of ``size`` bytes together, the first by hash of key and text; the driver gets few more.
+
+    For training only. A share of the hash range that holds about one and a half times as many
+    rows (or bytes) is cut out first, so what each partition sends shrinks as the table grows.
+    """
+    texts = [r[0] for r in sample_rows(df, key, text, most, size).select("text").collect()]
+    return pa.array(within(texts, size) if size else texts, pa.large_string())
 
 
 def strings(column) -> pa.Array:

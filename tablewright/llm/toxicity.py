@@ -9,8 +9,8 @@ what they are in the unlabelled sample.
 A text's score is the logistic of a bias and weighted features: the share of its words that are a
 given word, or begin with given 4, 5 or 6 bytes, up to ``MOST``. Only text is looked at.
 
-Training happens on the driver, on samples bounded in texts and in bytes, so its memory does not
-depend on the table or on how long its texts are.
+Training happens in one task, on samples bounded in texts and in bytes, so its memory does not
+depend on the table or on how long its texts are. The driver gets the weights that are not zero.
 
 Null and empty texts score as the bias alone. Empty tables give an empty result, and columns other than
 those named are not looked at; a kept column named like the score gets the suffix ``_input``. Repeated label rows of one id count once (toxic if
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import SALT, blocks, mixed, raw, sample_texts, set_aside, span_hashes, strings, words
+from tablewright.llm.common import SALT, blocks, mixed, raw, sample_rows, set_aside, span_hashes, strings, within, words
 
 #: Bounds of the training sample: toxic texts, unlabelled texts, characters of each text, and bytes of either kind together.
 TOXIC, UNLABELLED, CHARS = 3000, 6000, 20_000
@@ -169,11 +169,25 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
         return Classifier(np.zeros(1 << BITS), -50.0)
     short = docs.filter(usable & (F.length(text) <= CHARS)).select(key, text)
     some = F.broadcast(known.filter("__toxic = 1").orderBy(F.xxhash64(F.col(key), F.lit(3)), key).limit(TOXIC).select(key))
-    arrays = [
-        sample_texts(short.join(some, key, "left_semi"), key, text, TOXIC, TOXIC_BYTES),
-        sample_texts(short, key, text, UNLABELLED, UNLABELLED_BYTES),
+    rows = [
+        sample_rows(short.join(some, key, "left_semi"), key, text, TOXIC, TOXIC_BYTES).withColumn("kind", F.lit(0)),
+        sample_rows(short, key, text, UNLABELLED, UNLABELLED_BYTES).withColumn("kind", F.lit(1)),
     ]
-    return train(*arrays, prior=min(max(share[1] / share[0], 1e-4), 0.9))
+    prior = min(max(share[1] / share[0], 1e-4), 0.9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # An order of rows of its own, whatever the order of the parts.
+        held = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "spread", "text")), strict=True))
+        toxic, unlabelled = ([t for k, _, t in held if k == kind] for kind in (0, 1))
+        model = train(pa.array(within(toxic, TOXIC_BYTES), pa.large_string()), pa.array(within(unlabelled, UNLABELLED_BYTES), pa.large_string()), prior)
+        used = np.flatnonzero(model.used)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(model.weights[used], model.bias))], names=["feature", "weight"])
+
+    learned = rows[0].unionByName(rows[1]).coalesce(1).mapInArrow(run, "feature int, weight double").toArrow()
+    feature, weight = (learned.column(c).to_numpy() for c in ("feature", "weight"))
+    weights = np.zeros(1 << BITS)
+    weights[feature[feature >= 0]] = weight[feature >= 0]
+    return Classifier(weights, float(weight[feature < 0][0]) if weight.size else -50.0)
 
 
 def score_toxicity(df: DataFrame, text: str, model: Classifier, keep: Sequence[str] = (), name: str = "score") -> DataFrame:

@@ -139,3 +139,16 @@ def test_components(spark, seed):
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_stars_take_one_round(spark):
+    edges = spark.range(400).selectExpr("id AS a", "id % 40 AS b")
+    spark.sparkContext.setJobGroup("stars", "")
+    try:
+        found = components(edges)
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    ran = [i for j in tracker.getJobIdsForGroup("stars") for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    assert {(r.node, r.root) for r in found.collect()} == {(k, k % 40) for k in range(400)}
+    assert len(ran) <= 11

@@ -156,3 +156,13 @@ def test_empty_table_and_clashing_names(spark):
     (row,) = X.score_toxicity(df, "text", model, ["doc_id", "score"]).collect()
     assert row.score_input == 5.0 and 0 < row.score < 1
     assert X.score_toxicity(df.limit(0), "text", model, ["doc_id"]).collect() == []
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    rows = corpus(300)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    here = X.train(*(pa.array([t for _, _, t in sorted(docs.filter(f).selectExpr("xxhash64(doc_id, text)", "doc_id", "text").collect(), key=lambda r: r[0])], pa.large_string()) for f in (f"doc_id IN ({','.join(str(k) for k, _, t in rows if t)})", "true")), prior=sum(t for _, _, t in rows) / len(rows))
+    monkeypatch.setattr(X, "Matrix", None)  # of this process; tasks import their own
+    there = X.fit_classifier(docs, labels, "doc_id", "text", "toxic", X.F.lit(True))
+    assert there.bias == here.bias and (there.weights == here.weights).all() and here.used.any()
