@@ -268,3 +268,17 @@ def test_weights_of_a_joined_vocabulary_take_one_look_at_each_pair(spark, monkey
     monkeypatch.setattr(text, "SHIPPED_TERMS", 2)
     frequent, others = text._parted(text.vocabulary(text.term_counts(df, "id", "t"), 5).select("term", "idf"))
     assert {r.term for r in frequent.collect()} == {"aa"} and others.count() == 3002
+
+
+def test_text_features_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(n):
+        read.add(1)
+        return f"word{n % 7} of row{n}"
+
+    df = spark.range(40).select("id", counted(F.col("id")).alias("a"))
+    out = text.extract_text_features(df, ["a"], k=5, size=16)
+    assert out.count() == 40 and out.columns[:3] == ["id", "a", "a_PC1"]
+    assert read.value == 40
