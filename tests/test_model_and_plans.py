@@ -78,6 +78,15 @@ def test_baseline_learns(table):
     assert score.test_accuracy > 0.95
 
 
+def test_the_texts_of_a_baseline_are_split_once_for_all_folds(table, monkeypatch):
+    split, made = [], model.split_once
+    monkeypatch.setattr(model, "split_once", lambda df, columns: split.append(made(df, columns)) or split[-1])
+    train, test = model.train_test_split(table.withColumn("t", F.concat(F.col("c"), F.lit(" "), F.col("y"), F.lit("ish"))), "id")
+    score = model.rf_pipeline(train, test, "id", ROLES.replace(short_text=("t",)), "y", trees=5, depth=4, folds=3)
+    assert score.test_accuracy > 0.95 and len(split) == 1
+    assert "t" not in split[0].columns and dict(split[0].dtypes)["__t_split"] == "array<string>"
+
+
 def test_terms_of_the_other_folds_have_no_part_in_a_fit(spark, monkeypatch):
     seen = []
     fit = model.TfidfVectorizer._fit
