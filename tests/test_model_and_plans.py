@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tablewright.operators import model
@@ -135,6 +136,14 @@ def test_steps_of_an_experiment_run_once_for_all_variants_that_share_them(spark,
     assert calls.value == train.count()
 
 
+def test_tables_of_an_experiment_are_held_on_disk(spark, table, monkeypatch):
+    levels, persist = [], type(table).persist
+    monkeypatch.setattr(type(table), "persist", lambda self, *a: levels.append(a) or persist(self, *a))
+    variant = experiment.Variant("nulls cleaned", (experiment.nulls(ROLES, 0.1),), (experiment.impute(ROLES, trees=3, depth=2),))
+    out = experiment.run_experiment(table, "id", "y", [variant], ROLES, None, 1, estimator=forest, folds=2)
+    assert out.count() == 1 and len(levels) >= 3 and all(x == (StorageLevel.DISK_ONLY,) for x in levels)
+
+
 def test_damage_changes_the_train_side_only(table):
     keys = ["id"]
     out = experiment._apply(table, keys, experiment.variant_matrix(ROLES)[1].corruptions, 7)
